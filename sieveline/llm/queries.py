@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, matroska
+from . import bpe, lines, matroska, neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -26,8 +34,26 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_byte_bpe": op4_byte_bpe,
     "op10_matroska": op10_matroska,
 }
 
-ORACLE: dict[str, str] = {}
+_LINES = r"""
+SELECT doc_id, i AS pos, parts[i] AS line,
+       translate(trim(parts[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": f"""
+WITH l AS ({_LINES}),
+h AS (SELECT k, min(doc_id) AS head FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT l.doc_id, l.pos, l.line, h.head IS NOT NULL AND h.head < l.doc_id AS gone FROM l LEFT JOIN h ON l.k = h.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+}
