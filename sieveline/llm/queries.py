@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, lines, matroska, neardup, packing, warc
+from . import ann, bpe, langid, lines, matroska, neardup, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_report(_table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
+    "op8_language_id": op8_language_id,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_matroska": op10_matroska,
 }
