@@ -231,28 +231,33 @@ def label_words(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return buf, start, end, bounds, gamma[row, position % WINDOW], letters
 
 
+def predict_texts(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    if model is None:
+        return langs, scores
+    *_, bounds, gamma, letters = label_words(model, [x.encode() for x in texts])
+    total = np.concatenate((np.zeros((1, gamma.shape[1])), np.cumsum(gamma * letters[:, None], axis=0, dtype=np.float64)))
+    sums = total[bounds[1:]] - total[bounds[:-1]]
+    for i, x in enumerate(texts):
+        weight = sums[i].sum()
+        # a word beyond ASCII need not hold a letter
+        if weight > 0.5 and any(map(str.isalpha, x)):
+            best = int(sums[i].argmax())
+            langs[i] = model.labels[best]
+            scores[i] = min(1.0, max(0.0, round(float(sums[i][best] / weight), 5)))
+    return langs, scores
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):
-        model = sent.value
-        texts = [(x or "") for x in batch.column(1).to_pylist()]
+        texts = [x or "" for x in batch.column(1).to_pylist()]
         for a, b in common.steps([len(x) for x in texts], 2 << 20):
-            part = texts[a:b]
-            langs, scores = [UNDETERMINED] * len(part), np.zeros(len(part))
-            if model is not None:
-                *_, bounds, gamma, letters = label_words(model, [x.encode() for x in part])
-                total = np.concatenate((np.zeros((1, gamma.shape[1])), np.cumsum(gamma * letters[:, None], axis=0, dtype=np.float64)))
-                sums = total[bounds[1:]] - total[bounds[:-1]]
-                for i, x in enumerate(part):
-                    weight = sums[i].sum()
-                    # a word beyond ASCII need not hold a letter
-                    if weight > 0.5 and any(map(str.isalpha, x)):
-                        best = int(sums[i].argmax())
-                        langs[i] = model.labels[best]
-                        scores[i] = min(1.0, max(0.0, round(float(sums[i][best] / weight), 5)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs), pa.array(scores)], [id_col, "lang_pred", "score"])
+            langs, scores = predict_texts(sent.value, texts[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores)], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return common.map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, lang_pred string, score double")
@@ -269,3 +274,24 @@ def identify(docs: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     out = predict(docs, train(docs, per_label))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """Rows of ``docs`` with a predicted language and at least ``min_score``; columns and order of columns unchanged.
+
+    The rows pass through whole, so nothing is joined back. Without a model nothing is rejected but texts without letters.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch):
+        texts = [x or "" for x in batch.column(at).to_pylist()]
+        for a, b in common.steps([len(x) for x in texts], 2 << 20):
+            langs, scores = predict_texts(sent.value, texts[a:b])
+            keep = [
+                lang != UNDETERMINED and score >= min_score if sent.value is not None else any(map(str.isalpha, x))
+                for lang, score, x in zip(langs, scores, texts[a:b], strict=True)
+            ]
+            yield batch.slice(a, b - a).filter(pa.array(keep, pa.bool_()))
+
+    return common.map_batches(docs, run, docs.schema)

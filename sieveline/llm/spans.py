@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .words import hash_slices, mix, words
 
 MIN_WORDS = 20
-LONG_SENTENCE = 16  # words hash to a cut once in so many
+LONG_SENTENCE, CUT_ONE_IN = 24, 16  # sentences of more words are cut at words of which one in so many hashes to a cut
 LAST = 2**63 - 1
 
 _STOP = np.zeros(256, bool)
@@ -47,8 +48,10 @@ class Sentences:
         stop = _STOP[buf[end - 1]]
         breaks = np.concatenate(([0], np.cumsum(buf == 10)))
         stop[:-1] |= breaks[start[1:]] > breaks[end[:-1]]
-        stop |= mix(h + np.uint64(77)) % np.uint64(LONG_SENTENCE) == 0
         stop[bounds[1:][np.diff(bounds) > 0] - 1] = True
+        size = np.diff(np.flatnonzero(np.concatenate(([True], stop))))
+        long = np.repeat(size > LONG_SENTENCE, size)
+        stop |= long & (mix(h + np.uint64(77)) % np.uint64(CUT_ONE_IN) == 0)
         last = np.flatnonzero(stop)  # last word of each sentence
         first = np.concatenate(([0], last[:-1] + 1))
         self.bounds = np.searchsorted(first, bounds)
@@ -57,7 +60,6 @@ class Sentences:
         total = {}
         for name, odd, salt in (("h1", 0x9E3779B97F4A7C15, 1), ("h2", 0xC2B2AE3D27D4EB4F, 2)):
             total[name] = (mix(h + np.uint64(salt)), np.uint64(odd))
-        count = last - first + 1
         sentence_end = last + 1
         # the sentence in which the min_words-th word from each sentence's first word lies, two sentences at least
         target = np.searchsorted(sentence_end, first + min_words)
@@ -65,7 +67,6 @@ class Sentences:
         text_last = np.repeat(self.bounds[1:], np.diff(self.bounds)) - 1
         whole = target <= text_last
         self.units = np.where(whole, target - np.arange(len(first)) + 1, 0)
-        self.count = count
         at = np.flatnonzero(whole)
         size = last[target[at]] - first[at] + 1
         self.h1, self.h2 = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
@@ -77,7 +78,7 @@ class Sentences:
                 key[use] = key[use] * odd + x[first[at[use]] + j]
             for i in np.flatnonzero(size > 2 * min_words):  # beyond: in one go by value
                 own = x[first[at[i]] + 2 * min_words : first[at[i]] + size[i]]
-                key[i] = key[i] * odd + np.uint64(hash_slices(own.view(np.uint8), np.array([0]), np.array([8 * len(own)]))[0])
+                key[i : i + 1] = key[i : i + 1] * odd + hash_slices(own.view(np.uint8), np.array([0]), np.array([8 * len(own)]))
             getattr(self, name)[at] = mix(key + size.astype(np.uint64)).view(np.int64)
 
 
@@ -94,7 +95,7 @@ def _local_first(s: Sentences, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h1, h2, doc, at) of each document's distinct spans: ``at`` is the first sentence."""
+    """(h1, h2, doc, at) of the distinct spans of each (doc, text): ``at`` is the first sentence."""
 
     def run(batch: pa.RecordBatch):
         keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -109,46 +110,81 @@ def span_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 ["h1", "h2", "doc", "at"],
             )
 
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
-    return common.map_batches(source, run, "h1 long, h2 long, doc long, at int")
+    return common.map_batches(docs.select("doc", "text"), run, "h1 long, h2 long, doc long, at int")
 
 
-def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_sentences, n_removed, text) of every row: ``text`` without sentences that a non-first repeated span covers."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _marks(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc, marks): the first sentences of spans that a smaller id holds as well."""
     spans = span_table(docs, min_words)
     shared = spans.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     shared = common.materialize(shared, "span-shared")
-    marks = spans.join(shared, ["h1", "h2"]).where("lo < doc").groupBy("doc").agg(F.collect_set("at").alias("marks"))
+    return spans.join(shared, ["h1", "h2"]).where("lo < doc").groupBy("doc").agg(F.collect_set("at").alias("marks"))
+
+
+def _cut(texts: list[bytes], marks: list[list[int] | None], min_words: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Sentences, removed sentences and remaining bytes of each text."""
+    s = Sentences(texts, min_words)
+    counts, removed, kept = [], [], []
+    for i, (x, y) in enumerate(zip(s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)):
+        text, n = texts[i], y - x
+        gone = np.zeros(n + 1, np.int64)
+        # what another document holds first is marked once a document; repeats within it are found here
+        _, again = _local_first(s, x, y)
+        at = np.concatenate([again - x, np.array(marks[i] or [], np.int64)])
+        np.add.at(gone, at, 1)
+        np.add.at(gone, np.minimum(at + s.units[x + at], n), -1)
+        gone = np.cumsum(gone)[:n] > 0
+        counts.append(n)
+        removed.append(int(gone.sum()))
+        if removed[-1]:
+            edge = np.append(s.first[x:y] - s.text_at[i], len(text))  # a sentence takes the blanks behind it along
+            text = b"".join([text[: edge[0]]] + [text[edge[j] : edge[j + 1]] for j in np.flatnonzero(~gone)])
+        kept.append(text)
+    return counts, removed, kept
+
+
+def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_sentences, n_removed, text) of every row: ``text`` without sentences that a non-first repeated span covers."""
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    joined = docs.join(_marks(docs.select("doc", "text"), min_words), "doc", "left").select("doc_id", "text", "marks")
 
     def run(batch: pa.RecordBatch):
-        texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-        null = batch.column(1).is_null().to_pylist()
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
         marks = batch.column(2).to_pylist()
-        for a, b in common.steps([len(x) for x in texts]):
-            s = Sentences(texts[a:b], min_words)
-            counts, removed, kept = [], [], []
-            for i, (x, y) in enumerate(zip(s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)):
-                text, n = texts[a + i], y - x
-                gone = np.zeros(n + 1, np.int64)
-                # a repeat within the text; of a shared span all places are, unless this is the first document
-                _, again = _local_first(s, x, y)
-                at = np.concatenate([again - x, np.array(marks[a + i] or [], np.int64)])
-                np.add.at(gone, at, 1)
-                np.add.at(gone, np.minimum(at + s.units[x + at], n), -1)
-                gone = np.cumsum(gone)[:n] > 0
-                counts.append(n)
-                removed.append(int(gone.sum()))
-                if removed[-1]:
-                    begin = s.first[x:y] - s.text_at[i]
-                    edge = np.append(begin, len(text))  # a sentence takes the blanks behind it along
-                    parts = [text[: edge[0]]] + [text[edge[j] : edge[j + 1]] for j in np.flatnonzero(~gone)]
-                    text = b"".join(parts)
-                kept.append(None if null[a + i] else text.decode("utf-8", "replace"))
+        for a, b in common.steps([len(x or b"") for x in texts]):
+            counts, removed, kept = _cut([x or b"" for x in texts[a:b]], marks[a:b], min_words)
+            out = [None if x is None else y.decode("utf-8", "replace") for x, y in zip(texts[a:b], kept, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
                 ["doc_id", "n_sentences", "n_removed", "text"],
             )
 
-    joined = docs.join(marks, "doc", "left").select("doc_id", "text", "marks")
     return common.map_batches(joined, run, "doc_id long, n_sentences long, n_removed long, text string")
+
+
+def with_spans_removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with its columns, its ``text`` cut and ``n_chars`` (if there) following it."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
+    marks = _marks(keyed.select("doc", F.col("row.text").alias("text")), min_words)
+    joined = keyed.join(marks, "doc", "left").select(F.col("row.text").alias("_text"), "marks", *[F.col("row").getField(c).alias(c) for c in docs.columns])
+    joined = joined.drop("text")
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch):
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
+        marks = batch.column(1).to_pylist()
+        for a, b in common.steps([len(x or b"") for x in texts]):
+            _, _, kept = _cut([x or b"" for x in texts[a:b]], marks[a:b], min_words)
+            out = [None if x is None else y.decode("utf-8", "replace") for x, y in zip(texts[a:b], kept, strict=True)]
+            part = batch.slice(a, b - a)
+            columns = []
+            for c in names:
+                if c == "text":
+                    columns.append(pa.array(out, pa.string()))
+                elif c == "n_chars":
+                    columns.append(pa.array([None if x is None else len(x) for x in out], pa.int64()))
+                else:
+                    columns.append(part.column(part.schema.names.index(c)))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return common.map_batches(joined, run, StructType([StructField(f.name, LongType()) if f.name == "n_chars" else f for f in docs.schema]))
