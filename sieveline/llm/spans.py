@@ -27,6 +27,7 @@ from .words import hash_slices, mix, words
 
 MIN_WORDS = 20
 LONG_SENTENCE, CUT_ONE_IN = 24, 16  # sentences of more words are cut at words of which one in so many hashes to a cut
+CHAINED = 1024  # words of a span that are hashed side by side with those of all others
 LAST = 2**63 - 1
 
 _STOP = np.zeros(256, bool)
@@ -56,10 +57,6 @@ class Sentences:
         first = np.concatenate(([0], last[:-1] + 1))
         self.bounds = np.searchsorted(first, bounds)
         self.first, self.last = start[first], end[last]
-        # prefix sums of word hashes weighted by powers of an odd number: any run of words has a key that knows order, not place
-        total = {}
-        for name, odd, salt in (("h1", 0x9E3779B97F4A7C15, 1), ("h2", 0xC2B2AE3D27D4EB4F, 2)):
-            total[name] = (mix(h + np.uint64(salt)), np.uint64(odd))
         sentence_end = last + 1
         # the sentence in which the min_words-th word from each sentence's first word lies, two sentences at least
         target = np.searchsorted(sentence_end, first + min_words)
@@ -70,14 +67,16 @@ class Sentences:
         at = np.flatnonzero(whole)
         size = last[target[at]] - first[at] + 1
         self.h1, self.h2 = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        for name, (x, odd) in total.items():
+        for name, odd, salt in (("h1", np.uint64(0x9E3779B97F4A7C15), 1), ("h2", np.uint64(0xC2B2AE3D27D4EB4F), 2)):
+            x = mix(h + np.uint64(salt))
             key = np.zeros(len(at), np.uint64)
-            longest = int(size.max()) if len(at) else 0
-            for j in range(min(longest, 2 * min_words)):
-                use = np.flatnonzero(size > j)
-                key[use] = key[use] * odd + x[first[at[use]] + j]
-            for i in np.flatnonzero(size > 2 * min_words):  # beyond: in one go by value
-                own = x[first[at[i]] + 2 * min_words : first[at[i]] + size[i]]
+            active, j = np.arange(len(at)), 0
+            while len(active) and j < CHAINED:
+                key[active] = key[active] * odd + x[first[at[active]] + j]
+                j += 1
+                active = active[size[active] > j]
+            for i in active.tolist():  # words beyond these: in one go by value
+                own = x[first[at[i]] + CHAINED : first[at[i]] + size[i]]
                 key[i : i + 1] = key[i : i + 1] * odd + hash_slices(own.view(np.uint8), np.array([0]), np.array([8 * len(own)]))
             getattr(self, name)[at] = mix(key + size.astype(np.uint64)).view(np.int64)
 
