@@ -1,0 +1 @@
+"""Batch name screening and corpus preparation on Spark DataFrames."""

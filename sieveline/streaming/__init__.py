@@ -1,0 +1 @@
+"""The engine is a batch engine: there are no streaming operators yet."""
