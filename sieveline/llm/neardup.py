@@ -6,11 +6,14 @@
    so, with values ordered from rare to frequent, they share one among the first |sketch| - needed + 1 (the prefix
    filter principle): only those are listed, and frequent values drop out of most lists.
 3. Within a list every member is first paired with the list's smallest only. Verified links give components;
-   lists whose members are in one component are done. In the others, the members outside the list's main component
-   are paired with those of other components. A large group of near copies so costs its size, not its square,
-   and no candidate between different components is left out.
+   lists whose members are in one component are done. In the others the members outside the list's main component
+   are paired with those of other components: row by row in lists of up to ``SMALL`` members; members of longer lists
+   are gathered by main component, once whatever number of lists they share, and compared in blocks, which emit no
+   pair that is not similar. A large group of near copies so costs its size, and the outsiders of large groups
+   blocks of sketch comparisons; no candidate between different components is left out.
 4. Pairs pass a size test, then the union-sketch estimate (share of common values among the k smallest of the union;
-   exact for sets within k), then exact Jaccard on full sets, recomputed from whole texts.
+   exact for sets within k), then exact Jaccard on full sets, recomputed from whole texts. In blocks sketches have
+   ``WIDE`` values, so that most sets are whole and confirmed there.
 
 Defined results: documents without words have empty sets and are linked with nothing; rows with a null id have no
 component and are kept; rows with equal ids count as one document. Links are missed only if a sketch deviates by more
@@ -30,6 +33,9 @@ from . import common
 from .words import mix, shingle_sets
 
 K = 64
+WIDE = 512
+SMALL = 48
+ROWS, COLUMNS = 128, 512  # members that one block compares
 _TOP = np.uint64(1 << 63)
 
 
@@ -96,23 +102,24 @@ def _similar_sizes(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar: sketch estimate first, then exact Jaccard over whole texts."""
+def likely(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose union-sketch estimate does not rule them out."""
     left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("ska"), F.col("n").alias("na"))
     right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("skb"), F.col("n").alias("nb"))
     both = pairs.join(left, "a").join(right, "b")
+    common_values = F.array_intersect("ska", "skb")
     union = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k)
-    hits = F.size(F.array_intersect(union, F.array_intersect("ska", "skb")))
+    hits = F.size(F.array_intersect(union, common_values))
     exact = (F.col("na") <= k) & (F.col("nb") <= k)
-    slack = F.when(exact, 0).otherwise(_slack(k, percent))
-    whole_union = F.size(F.array_union("ska", "skb"))
-    estimate = F.when(exact, F.size(F.array_intersect("ska", "skb")) * 100 >= percent * whole_union).otherwise((hits + slack) * 100 >= percent * F.size(union))
-    likely = both.where(estimate).select("a", "b")
-    likely = common.materialize(likely, "near-likely")
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    whole = F.size(common_values) * 100 >= percent * (F.col("na") + F.col("nb") - F.size(common_values))
+    return both.where(F.when(exact, whole).otherwise((hits + _slack(k, percent)) * 100 >= percent * F.size(union))).select("a", "b")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` with that exact Jaccard similarity over the shingles of their whole texts."""
     joined = (
-        likely.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+        pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        .join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         .select("a", "b", "ta", "tb")
     )
 
@@ -138,6 +145,90 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k:
     return common.map_batches(joined, run, "a long, b long")
 
 
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k: int, percent: int) -> DataFrame:
+    return confirm(common.materialize(likely(pairs, classes, k, percent), "near-likely"), docs, width, percent)
+
+
+def _block_links(table: pa.Table, percent: int, k: int) -> pa.Table:
+    """Similar pairs of one block, (a, b, sure): sure where both sets are whole; of those one a member and other component."""
+    side = table["side"].to_numpy()
+    ids, parts, n = (table[c].to_numpy() for c in ("id", "component", "n"))
+    main = table["main"].to_numpy()
+    lists = table["sketch"].combine_chunks()
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    out_a, out_b, sure = [], [], []
+    if len(r) and len(c):
+        def entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = offsets[rows + 1] - offsets[rows]
+            at = np.repeat(offsets[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            return values[at], np.repeat(np.arange(len(rows)), size)
+
+        vr, ir = entries(r)
+        vc, ic = entries(c)
+        shared = np.intersect1d(vr, vc)
+        counts = np.zeros((len(r), len(c)), np.float32)
+        for i in range(0, len(shared), 2048):
+            part = shared[i : i + 2048]
+            grids = []
+            for v, rows, total in ((vr, ir, len(r)), (vc, ic, len(c))):
+                at = np.minimum(np.searchsorted(part, v), len(part) - 1)
+                there = part[at] == v
+                grid = np.zeros((total, len(part)), np.float32)
+                grid[rows[there], at[there]] = 1
+                grids.append(grid)
+            counts += grids[0] @ grids[1].T
+        nr, nc = n[r][:, None], n[c][None, :]
+        whole = (nr <= k) & (nc <= k)
+        # of a truncated sketch only values up to the smaller of both last ones are comparable
+        last = np.where(n > k, values[np.maximum(offsets[1:] - 1, 0)], np.iinfo(np.int64).max)
+        limit = np.minimum(last[r][:, None], last[c][None, :])
+        size_r, size_c = np.minimum(n[r], k)[:, None] + 0 * limit, np.minimum(n[c], k)[None, :] + 0 * limit
+        for i in np.flatnonzero((~whole).any(axis=1)):
+            size_r[i] = np.searchsorted(values[offsets[r[i]] : offsets[r[i] + 1]], limit[i], side="right")
+        for j in np.flatnonzero((~whole).any(axis=0)):
+            size_c[:, j] = np.searchsorted(values[offsets[c[j]] : offsets[c[j] + 1]], limit[:, j], side="right")
+        union = size_r + size_c - counts
+        share = percent / 100
+        slack = 4.5 * np.sqrt(union * share * (1 - share)) * ~whole
+        ok = (counts > 0) & ((counts + slack) * 100 >= percent * union)
+        ok &= (nr * 100 >= nc * percent) & (nc * 100 >= nr * percent)
+        ok &= parts[r][:, None] != parts[c][None, :]
+        # two outsiders meet twice: from the smaller id only
+        ok &= (parts[c] == main[c])[None, :] | (ids[r][:, None] < ids[c][None, :])
+        for i in range(len(r)):
+            met: set[int] = set()
+            for j in np.flatnonzero(ok[i]).tolist():
+                certain = bool(whole[i, j])
+                if certain and int(parts[c[j]]) in met:
+                    continue
+                if certain:
+                    met.add(int(parts[c[j]]))
+                x, y = int(ids[r[i]]), int(ids[c[j]])
+                out_a.append(min(x, y))
+                out_b.append(max(x, y))
+                sure.append(certain)
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
+
+
+def block_links(apart: DataFrame, docs: DataFrame, width: int, percent: int, wide: int = WIDE) -> DataFrame:
+    """(a, b, sure) of similar pairs across components among (main, class, component): blocks of bounded size."""
+    members = common.materialize(apart.select("main", F.col("class").alias("id"), "component").distinct(), "near-members")
+    needed = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wider = common.materialize(sketches(needed, width, wide).select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id", "n"]), "near-wide")
+    outside = F.col("component") != F.col("main")
+    sizes = members.groupBy("main").agg(F.ceil(F.sum(outside.cast("long")) / ROWS).alias("rows"), F.ceil(F.count("*") / COLUMNS).alias("columns"))
+    placed = members.join(sizes, "main")
+    row, column = F.pmod(F.xxhash64("id"), F.col("rows")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("columns"))
+    both = (
+        placed.where(outside).select("*", row.alias("rb"), F.explode(F.sequence(F.lit(0), F.col("columns").cast("long") - 1)).alias("cb"), F.lit(0).alias("side"))
+        .unionByName(placed.select("*", column.alias("cb"), F.explode(F.sequence(F.lit(0), F.col("rows").cast("long") - 1)).alias("rb"), F.lit(1).alias("side")))
+    )
+    rows = both.select("main", "rb", "cb", "side", "id", "component").join(wider, "id")
+    common.ship_package(docs.sparkSession)
+    return rows.groupBy("main", "rb", "cb").applyInArrow(lambda t: _block_links(t, percent, wide), "a long, b long, sure boolean")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, n_shingles, component_id, kept)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -166,18 +257,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         "near-placed",
     )
     counted = placed.groupBy("value", "component").agg(F.count("*").alias("m"))
-    mixed = counted.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("value", "main")
+    # of equally large components the smallest id, so that lists with the same members agree
+    mixed = counted.groupBy("value").agg(
+        F.max_by("component", F.struct("m", -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("total")
+    ).where("parts > 1").select("value", "main", "total")
     apart = placed.join(mixed, "value")
-    few = apart.where("component <> main").select("value", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    short = apart.where(F.col("total") <= SMALL)
+    few = short.where("component <> main").select("value", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
     # pairs of two outsiders are met once, from the smaller id
     pairs = (
-        few.join(apart.select("value", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main"), "value")
+        few.join(short.select("value", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main"), "value")
         .where("cx <> cy and (cy = main or x < y)").where(_similar_sizes("nx", "ny", percent))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
-    tested = stars.select("a", "b")
-    second = verify(pairs.join(tested, ["a", "b"], "left_anti"), represented, docs, width, k, percent)
-    links = common.materialize(first.unionByName(second), "near-links")
+    second = verify(pairs.join(stars, ["a", "b"], "left_anti"), represented, docs, width, k, percent)
+    blocks = common.materialize(block_links(apart.where(F.col("total") > SMALL), docs, width, percent), "near-blocks")
+    third = confirm(blocks.where("not sure").select("a", "b").distinct(), docs, width, percent)
+    links = common.materialize(first.unionByName(second).unionByName(blocks.where("sure").select("a", "b")).unionByName(third), "near-links")
     final = common.connected_components(links)
     named = classes.join(final, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component_id"))
     named = named.groupBy("n", "s1", "s2").agg(F.min("component_id").alias("component_id"))
