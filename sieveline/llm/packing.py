@@ -17,6 +17,7 @@ from __future__ import annotations
 import array
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -30,12 +31,22 @@ from . import common
 
 CAPACITY = 4096
 END = 1
-#: Bound of a worker's cache of blank-separated chunks.
-CACHE_CHUNKS = 600_000
+#: Bound of a worker's cache of pieces; beyond it the cache starts anew.
+CACHE_CHUNKS = 1_000_000
 
 
-class ChunkEncoder:
-    """Ids of texts by a public tokenizer that never joins across ASCII blanks: chunks between blanks are encoded once."""
+#: Pieces of a text that can be encoded alone: runs of ASCII and Latin-1 letters and runs of ASCII digits and signs, where neither meets a
+#: character beyond these (it might combine or be of the same kind) and no apostrophe precedes a letter; else all up to the next blank.
+PIECES = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])|[!-&(-@\[-`{-~]++(?![\x00-\x08\x0e-\x1f\x7f-\xff'])|[^\t-\r ]++")
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+class PieceEncoder:
+    """Ids of texts by a public tokenizer that never joins across blanks, nor letters with signs.
+
+    Each distinct chunk between blanks is looked up; a new one is put together from its pieces, and only a new piece is
+    encoded. Words of plain letters go to the tokenizer's model directly, in the form its normaliser would give them.
+    """
 
     def __init__(self, tokenizer_json: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,30 +54,54 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._model = self._tokenizer.model
         self._reset()
 
     def _reset(self) -> None:
-        self._index: dict[bytes, int] = {}
+        self._index: dict[bytes, int] = {}  # chunks and pieces: both are texts of their own
         self._at, self._size, self._flat = array.array("q"), array.array("q"), array.array("I")
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        for chunk, e in zip(chunks, self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), strict=True):
-            self._index[chunk] = len(self._at)
-            self._at.append(len(self._flat))
-            self._size.append(len(e.ids))
-            self._flat.extend(e.ids)
+    def _store(self, piece: bytes, ids) -> int:  # noqa: ANN001
+        i = self._index[piece] = len(self._at)
+        self._at.append(len(self._flat))
+        self._size.append(len(ids))
+        self._flat.extend(ids)
+        return i
+
+    def _piece(self, piece: bytes) -> int:
+        if (i := self._index.get(piece)) is not None:
+            return i
+        if not _LETTERS.fullmatch(piece):
+            return self._store(piece, self._tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        low = piece.decode().lower().encode()
+        if (i := self._index.get(low)) is None:
+            i = self._store(low, [t.id for t in self._model.tokenize(low.decode("latin-1").translate(_VISIBLE))])
+        self._index[piece] = i
+        return i
+
+    def _chunk(self, chunk: bytes) -> int:
+        parts = [self._piece(p) for p in PIECES.findall(chunk)]
+        if len(parts) == 1:
+            return parts[0]
+        ids = array.array("I")
+        for i in parts:
+            at = self._at[i]
+            ids += self._flat[at : at + self._size[i]]
+        return self._store(chunk, ids)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
         if len(self._index) > CACHE_CHUNKS:
             self._reset()
-        split = [t.split() for t in texts]
+        split = [t.split() for t in texts]  # of bytes: at ASCII blanks
         chunks = [c for s in split for c in s]
-        get = self._index.get
-        which = list(map(get, chunks))
+        which = list(map(self._index.get, chunks))
         if None in which:
-            self._learn(list({c: None for c, w in zip(chunks, which, strict=True) if w is None}))
-            which = list(map(get, chunks))
+            get = self._index.get
+            for k, i in enumerate(which):
+                if i is None:
+                    c = chunks[k]
+                    which[k] = self._chunk(c) if (i := get(c)) is None else i
         which = np.array(which, np.int64)
         at, size = np.frombuffer(self._at, np.int64), np.frombuffer(self._size, np.int64)
         n = size[which]
@@ -77,9 +112,19 @@ class ChunkEncoder:
         return ids, np.diff(cut)
 
 
+def _visible() -> dict[int, str]:
+    """The byte-level alphabet: each byte as a printable character."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_VISIBLE = _visible()
+
+
 @functools.lru_cache(2)
-def _encoder(tokenizer_json: bytes) -> ChunkEncoder:
-    return ChunkEncoder(tokenizer_json)
+def _encoder(tokenizer_json: bytes) -> PieceEncoder:
+    return PieceEncoder(tokenizer_json)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
