@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,31 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shipping import ship_package
+
 #: Characters that separate words and are stripped from lines: space and \t \n \v \f \r.
 BLANKS = "\t\n\x0b\x0c\r "
 #: Upper bound of text bytes that one vectorised step holds at a time; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it anywhere."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), os.path.basename(root) + ".zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(os.path.realpath(target))
-    _shipped.add(sc.applicationId)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; only where none is configured a local one is made (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -55,7 +36,7 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sieveline_path = path  # noqa: SLF001
     return out

@@ -25,6 +25,7 @@ from . import common
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 URN = "urn:sieveline:page:"
 HEADER_END = "\r\n\r\n"
+NO_ID = 2**63 - 1  # behind all page ids
 
 
 def base32_sha1(data: Column) -> Column:
@@ -66,12 +67,11 @@ def archive(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:
         (F.octet_length(http) + F.when(F.col("response"), F.col("n")).otherwise(0)).cast("string"), F.lit(HEADER_END), http,
     )
     headers = common.materialize(placed.select("page_id", "address", header.cast("binary").alias("header")), "warc-headers")
-    heads = firsts.select("address", F.col("head").alias("page_id"))
-    # null-safe, so that payloads of pages without an id are kept as well
-    kept = hashed.alias("h").join(
-        heads.alias("k"), (F.col("h.address") == F.col("k.address")) & F.col("h.page_id").eqNullSafe(F.col("k.page_id")), "left_semi"
-    )
-    payloads = common.materialize(kept.select("address", "payload").dropDuplicates(["address"]), "warc-payloads")
+    # the bytes are shuffled once: semi-join and distinct need the same partitioning, since an address has one head
+    page = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page")
+    heads = firsts.select("address", F.coalesce(F.col("head").cast("long"), F.lit(NO_ID)).alias("page"))
+    kept = hashed.select("address", page, "payload").join(heads, ["address", "page"], "left_semi").dropDuplicates(["address", "page"])
+    payloads = common.materialize(kept.select("address", "payload"), "warc-payloads")
     return headers, payloads
 
 
