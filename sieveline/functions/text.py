@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 
@@ -52,7 +53,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
 def upper_ascii(col: Column) -> Column:
     """Folded and upper-cased, where only ASCII letters and digits matter afterwards; lone ASCII skips the tables."""
     one_from, one_to, several, gone = _fold_tables()
-    table = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one constant, not a tree of two thousand
     expand = F.when(
         col.rlike("[" + "".join(several) + "]"),
         F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""),
