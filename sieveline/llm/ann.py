@@ -4,11 +4,12 @@ Codebooks of full dimension are trained one on the residuals of the other over a
 with the smallest hashed ids); every vector is then encoded by beam search, which keeps the ``beam`` best partial
 sums, and stored with its code and the norm of its reconstruction. A query scores codes by one table lookup a
 codebook; in every ``chunk`` of the index the ``rerank`` best are ranked again by the exact cosine of the original
-vectors, so the share of exact work is the same at every size. Queries are taken in blocks of bounded size.
+vectors, so the share of exact work is the same at every size. Queries are taken in blocks of bounded size; where there
+are several, each block's result is a written table before the next one begins.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do those
-with another number of components than most; equal scores go to the smaller id; equal ids count as one vector's own
-row, which is never its own neighbour.
+with another number of components than most; equal scores go to the smaller id. Rows that repeat an id are candidates
+each, but never of a query with that id; as a query the id is asked once, with the smallest of its vectors.
 """
 
 from __future__ import annotations
@@ -158,8 +159,9 @@ def _search_chunk(best: Best, q_id: np.ndarray, q: np.ndarray, q_length: np.ndar
 def search(index: DataFrame, books: np.ndarray, d: int, every: int, k: int = 5, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of the index to each of its rows whose id is divisible by ``every``."""
     spark = index.sparkSession
-    asked = index.where(F.pmod("id", F.lit(every)) == 0).select("id", "vec")
+    asked = index.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     total = asked.count()
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     blocks = max(1, -(-total // QUERIES))
     found = None
     for block in range(blocks):
@@ -201,9 +203,12 @@ def search(index: DataFrame, books: np.ndarray, d: int, every: int, k: int = 5,
         common.ship_package(spark)
         common.small_batches(spark, 1024)
         one = index.select("id", "vec", "code", "norm").mapInArrow(run, "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            best = common.materialize(best, "ann-block")
+            sent.destroy()
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
