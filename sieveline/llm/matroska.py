@@ -70,7 +70,9 @@ def read_vint(data: bytes, at: int, keep_marker: bool) -> tuple[int, int, bool]:
 
 
 def _lace_sizes(sizes: list[int], lacing: int) -> bytes:
-    """Lacing header behind the frame count; the last size follows from the block's."""
+    """Lacing header behind the frame count; the last size follows from the block's, so a lone frame has none."""
+    if len(sizes) < 2:
+        return b""
     if lacing == 1:  # Xiph
         return b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
     if lacing == 3:  # EBML: the first size, then signed differences
