@@ -165,25 +165,22 @@ def with_spans_removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     """``docs`` with its columns, its ``text`` cut and ``n_chars`` (if there) following it."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
     marks = _marks(keyed.select("doc", F.col("row.text").alias("text")), min_words)
-    joined = keyed.join(marks, "doc", "left").select(F.col("row.text").alias("_text"), "marks", *[F.col("row").getField(c).alias(c) for c in docs.columns])
-    joined = joined.drop("text")
+    # by position, so that no name of a column can clash
     names = docs.columns
+    fields = [F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)]
+    joined = keyed.join(marks, "doc", "left").select("marks", *fields)
+    at = names.index("text") + 1
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column(0).cast(pa.binary()).to_pylist()
-        marks = batch.column(1).to_pylist()
+        texts = batch.column(at).cast(pa.binary()).to_pylist()
+        marks = batch.column(0).to_pylist()
         for a, b in common.steps([len(x or b"") for x in texts]):
             _, _, kept = _cut([x or b"" for x in texts[a:b]], marks[a:b], min_words)
             out = [None if x is None else y.decode("utf-8", "replace") for x, y in zip(texts[a:b], kept, strict=True)]
-            part = batch.slice(a, b - a)
-            columns = []
-            for c in names:
-                if c == "text":
-                    columns.append(pa.array(out, pa.string()))
-                elif c == "n_chars":
-                    columns.append(pa.array([None if x is None else len(x) for x in out], pa.int64()))
-                else:
-                    columns.append(part.column(part.schema.names.index(c)))
+            columns = batch.slice(a, b - a).columns[1:]
+            columns[at - 1] = pa.array(out, pa.string())
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array([None if x is None else len(x) for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return common.map_batches(joined, run, StructType([StructField(f.name, LongType()) if f.name == "n_chars" else f for f in docs.schema]))
