@@ -1,0 +1,203 @@
+"""Screening against a plain version of its definition, fixed scores, and invariants."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sieveline.functions import keys, reference_data
+from sieveline.functions.similarity import token_similarities
+from sieveline.functions.text import py_normalize
+from sieveline.operators import names_index, screening
+
+RAW = "name_id long, uid long, entry_type string, name_kind string, is_weak boolean, display string"
+ASKED = "query_id string, query_name string, subject_type string"
+
+
+def _words(norm: str) -> list[str]:
+    return norm.split()
+
+
+def _strip(norm: str) -> str:
+    for _ in norm.split():
+        if norm not in reference_data.TRAILING:
+            for f in reference_data.TRAILING:
+                if norm.endswith(" " + f):
+                    norm = norm[: -len(f) - 1]
+                    break
+        for f in reference_data.LEADING:
+            if norm.startswith(f + " "):
+                norm = norm[len(f) + 1 :]
+                break
+    return norm
+
+
+def _grams(norm: str) -> set[str]:
+    return {f"  {w} ".lower()[i : i + 3] for w in norm.split() for i in range(len(w) + 1)}
+
+
+def _sim(a: str, b: str) -> float:
+    x, y = _grams(a), _grams(b)
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def _sounds(norm: str) -> set[str]:
+    return {keys.metaphone(t) for t in norm.split() if len(t) >= 3 and t.isalpha()} - {""}
+
+
+def _one_off(norm: str) -> str:
+    return next((norm[: -len(f)].strip() for f in reference_data.TRAILING if norm == f or norm.endswith(" " + f)), norm)
+
+
+def _initials(norm: str) -> str:
+    return "".join(t[0] for t in norm.split())
+
+
+def _short(norm: str) -> set[str]:
+    return {a for a in map(_initials, (norm, _one_off(norm), _strip(norm))) if len(a) >= 3}
+
+
+class Plain:
+    """The screening of one customer after another."""
+
+    def __init__(self, names: list[tuple]):
+        self.names = [(*n, py_normalize(n[5])) for n in names if py_normalize(n[5])]
+        stems = [_strip(n[6]) for n in self.names if n[2] == "entity" and n[3] == "primary"]
+        self.n = len([s for s in stems if s])
+        self.df: dict[str, int] = {}
+        for s in stems:
+            for t in set(s.split()):
+                self.df[t] = self.df.get(t, 0) + 1
+
+    def idf(self, t: str) -> float:
+        return math.log((self.n + 1) / (self.df.get(t, 0) + 1)) + 1
+
+    def score(self, q: list[str], n: list[str], person: bool) -> float:
+        if not q or not n:
+            return 0.0
+        sims = token_similarities([a for a in q for _ in n], [b for _ in q for b in n]).reshape(len(q), len(n))
+
+        def one(grid, own):  # noqa: ANN001, ANN202
+            best = grid.max(axis=1)
+            if person:
+                return best.sum() / len(best)
+            w = [self.idf(t) for t in own]
+            return sum(x * (b if b >= 0.85 else 0.0) for x, b in zip(w, best, strict=True)) / sum(w)
+
+        return (one(sims, q) + one(sims.T, n)) / 2
+
+    def screen(self, name: str, kind: str, k: int = 10) -> list[tuple]:
+        norm = py_normalize(name)
+        if not norm:
+            return []
+        pool = [n for n in self.names if n[2] in reference_data.SEARCHED[kind]]
+        near = sorted(((n, _sim(norm, n[6])) for n in pool), key=lambda x: (-x[1], x[0][0]))
+        found: dict[int, set[str]] = {}
+        for n, s in [x for x in near if x[1] >= 0.3][:50]:
+            found.setdefault(n[1], set()).add("trigram")
+        for n, _ in [x for x in near if _sounds(norm) & _sounds(x[0][6])][:50]:
+            found.setdefault(n[1], set()).add("phonetic")
+        if kind == "entity":
+            spelled = {a for a in (_initials(v) if " " in v else "" for v in (norm, _one_off(norm), _strip(norm))) if len(a) >= 3}
+            hits = [n for n in pool if (" " not in norm and len(norm) >= 3 and norm in (_short(n[6]) if n[2] != "individual" else set())) or n[6] in spelled]
+            for n in sorted(hits, key=lambda n: (n[1], n[0]))[:100]:
+                found.setdefault(n[1], set()).add("acronym")
+        best: dict[int, tuple] = {}
+        for n in sorted(pool):
+            if n[1] not in found:
+                continue
+            person = kind == "individual"
+            q = _words(norm if person else _strip(norm))
+            own = _words(n[6] if n[2] == "individual" else _strip(n[6]) or n[6])
+            s = self.score(q, own, person)
+            if "acronym" in found[n[1]]:
+                s = max(s, 0.90)
+            if n[1] not in best or s > best[n[1]][0] + 1e-12:
+                best[n[1]] = (s, n[5])
+        ranked = sorted(((u, round(s, 4), shown, tuple(sorted(found[u]))) for u, (s, shown) in best.items()), key=lambda x: (-best[x[0]][0], x[0]))
+        short = [x for x in ranked if "acronym" in x[3]]
+        return [(*x, x in short and len(short) > 1) for i, x in enumerate(ranked) if i < k or (x in short and len(short) > 1)]
+
+
+def listed() -> list[tuple]:
+    rng = random.Random(6)
+    given = ["MOHAMMED", "Hassan", "AHMAD", "Vadim", "Søren", "A.", "ALI", "Yusuf"]
+    family = ["AL HASSAN", "KARIMI", "DENGIN", "O'BRIEN", "SHAHRESTANI", "IVANOV", "ABU"]
+    firm = ["ALPHA", "OMEGA", "TRADING", "SINA", "COMPOSITE", "GLOBAL", "M&S", "BASALT", "OOO", "STROY"]
+    rows = []
+    for uid in range(1, 120):
+        kind = rng.choice(["individual", "entity", "entity", "vessel"])
+        for alias in range(rng.randint(1, 3)):
+            if kind == "individual":
+                shown = f"{rng.choice(given)} {rng.choice(family)}"
+            else:
+                shown = " ".join(rng.sample(firm, rng.randint(1, 4)) + rng.choice([[], ["LTD"], ["CO.,", "LIMITED"], ["LLC"]]))
+            rows.append((uid if not alias else uid * 10 + alias + 100_000, uid, kind, "alias" if alias else "primary", alias == 2, shown))
+    return [*rows, (9001, 9001, "entity", "primary", False, "--")]
+
+
+CUSTOMERS = [
+    ("mohamed al hassen", "individual"), ("Hassan", "individual"), ("S. O'Brien", "individual"), ("DENGIN Vadim", "individual"), ("SCO", "entity"), ("SINA COMPOSITE OMEGA", "entity"), ("AOT", "entity"),
+    ("alpha omega trading co ltd", "entity"), ("Global", "entity"), ("OOO", "entity"), ("M and S", "entity"), ("nobody at all", "entity"), ("---", "entity"), ("", "individual"), ("Alpha Omega Trading", "individual"),
+    ("SCD LLC", "entity"), ("Basalt Stroi", "entity"),
+]
+
+
+@pytest.fixture(scope="module")
+def names(spark):
+    return names_index.derive(spark.createDataFrame(listed(), RAW)).cache()
+
+
+def test_equals_plain_version(spark, names):
+    plain = Plain(listed())
+    asked = spark.createDataFrame([(f"Q{i}", n, t) for i, (n, t) in enumerate(CUSTOMERS)], ASKED)
+    for k in (10, 2):
+        got: dict[str, list] = {}
+        for r in screening.screen(asked, names, k=k).orderBy("query_id", "position").collect():
+            assert r["position"] == len(got.setdefault(r["query_id"], [])) + 1
+            got[r["query_id"]].append((r["uid"], round(r["score"], 4), r["matched_name"], tuple(r["generators"]), r["ambiguous"]))
+        for i, (name, kind) in enumerate(CUSTOMERS):
+            assert got.get(f"Q{i}", []) == plain.screen(name, kind, k), name
+
+
+def test_invariant_to_case_spacing_and_signs(spark, names):
+    base = [("A", "alpha omega trading", "entity"), ("B", "Mohamed Al Hassan", "individual")]
+    twisted = [(q, "  " + n.upper().replace(" ", " - ") + " .", t) for q, n, t in base]
+    run = lambda rows: sorted(screening.screen(spark.createDataFrame(rows, ASKED), names).drop("query_name").collect())
+    assert run(base) == run(twisted)
+
+
+def test_every_listed_name_finds_itself(spark, names):
+    own = names.select(F.concat(F.lit("Q"), F.col("name_id").cast("string")).alias("query_id"), F.col("display").alias("query_name"), F.when(F.col("entry_type") == "individual", "individual").otherwise("entity").alias("subject_type"), F.col("uid").alias("own"))
+    got = screening.screen(own, names, k=200, generator_limit=500)
+    best = got.join(own.select("query_id", "own"), "query_id").where("uid = own").select("query_id", "score").collect()
+    assert len(best) == own.count() and min(r["score"] for r in best) > 1 - 1e-9
+
+
+def test_a_higher_threshold_proposes_a_subset(spark, names):
+    q = screening.prepare(spark.createDataFrame([(f"Q{i}", n, t) for i, (n, t) in enumerate(CUSTOMERS)], ASKED))
+    found = [{(r["query_id"], r["name_id"]): r["sim"] for r in screening.trigram_pairs(q, names, t).collect()} for t in (0.2, 0.3, 0.6)]
+    assert set(found[2]) < set(found[1]) < set(found[0]) and min(found[1].values()) >= 0.3
+
+
+def test_unknown_types_and_empty_sides(spark, names):
+    with pytest.raises(Exception, match="unknown subject type"):
+        screening.screen(spark.createDataFrame([("Q", "X", "ship")], ASKED), names).collect()
+    none = spark.createDataFrame([], ASKED)
+    assert screening.screen(none, names).collect() == []
+    assert screening.nested(none, screening.screen(none, names)).collect() == []
+    some = spark.createDataFrame([("Q", "X Y", "entity")], ASKED)
+    assert screening.screen(some, names.limit(0)).collect() == []
+    assert screening.nested(some, screening.screen(some, names.limit(0))).first()["candidates"] == []
+
+
+def test_tie_groups_stay_whole(spark):
+    rows = [(u, u, "entity", "primary", False, f"Sina Composite {w}") for u, w in enumerate(["Delijan", "Dorud", "Damavand", "Dena", "Daran"], 1)]
+    rows += [(10, 10, "entity", "primary", False, "SCD"), (11, 11, "entity", "primary", False, "SCDX Trading")]
+    names = names_index.derive(spark.createDataFrame(rows, RAW))
+    got = screening.screen(spark.createDataFrame([("Q", "SCD", "entity")], ASKED), names, k=2).collect()
+    assert {r["uid"] for r in got} == {10, 1, 2, 3, 4, 5} and all(r["score"] >= 0.9 for r in got)
+    assert {r["uid"] for r in got if r["ambiguous"]} == {1, 2, 3, 4, 5}
