@@ -25,6 +25,8 @@ from . import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = 2**63 - 1
+#: Input bytes for which a run gets one bucket, and the most buckets of a run.
+BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 50_000
 
 
 def line_key(line: Column) -> Column:
@@ -43,12 +45,20 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("doc", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets in proportion to the input, so that their files are neither many and small nor large; all cores have one."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    if size >= 1 << 60:  # unknown
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(-(-size // BUCKET_BYTES), MAX_BUCKETS))
+
+
 class LineRuns:
     """The index: ``levels[i]`` lists the bucketed run tables of level i."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout = spark, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 3):
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}
 
@@ -104,7 +114,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     ranges = list(zip([None, *cuts], [*cuts, None], strict=True))
-    index, out = LineRuns(spark), None
+    index, out = LineRuns(spark, bucket_count(docs)), None
     for low, high in ranges:
         # on the id column itself, so that the filter reaches the scan
         inside = F.lit(True)
