@@ -13,6 +13,15 @@ from .reference_data import MIN_ACRONYM
 from .text import strip_legal_forms, strip_legal_suffix, tokens
 
 
+def explode_keys(col: Column | str) -> Column:
+    """One row a key; rows without keys have a null one, which joins drop.
+
+    A plain ``explode`` makes Spark infer ``size(col) > 0`` and push it to the scan, where all that ``col`` is made of is
+    spelled out and worked out a second time.
+    """
+    return F.explode_outer(col)
+
+
 def trigrams(norm: Column) -> Column:
     """Distinct three-letter windows of each lower-cased word, padded with two blanks before and one behind."""
     windows = lambda w: F.transform(

@@ -37,6 +37,8 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
         if 0xD800 <= code <= 0xDFFF:
             continue
         c = chr(code)
+        if not unicodedata.decomposition(c) and not unicodedata.combining(c) and not c.upper().isascii():
+            continue  # most: a separator
         out = py_fold(c).upper().replace("&", " AND ")
         out = re.sub("[^A-Z0-9]", " ", out)
         if not out:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, similarity, text
+from ..shipping import ship_package
 
 ALIAS_BASE = 1 << 56  # names are ordered primaries first, then aliases
 
@@ -25,6 +26,7 @@ def build(entries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def derive(names: DataFrame) -> DataFrame:
     """Adds name_norm, stem (null for individuals), phonetic_keys, acronyms; names that normalise to nothing go."""
+    ship_package(names.sparkSession)
     person = F.col("entry_type") == "individual"
     out = names.withColumn("name_norm", text.normalize(F.col("display"))).where("name_norm <> ''")
     none = F.array().cast("array<string>")
@@ -49,6 +51,6 @@ def differences(fresh: DataFrame, stored: DataFrame) -> DataFrame:
 
 def acronym_groups(names: DataFrame) -> DataFrame:
     """(acronym, n_rows, n_uids, uids)."""
-    return names.select("uid", F.explode("acronyms").alias("acronym")).groupBy("acronym").agg(
+    return names.select("uid", keys.explode_keys("acronyms").alias("acronym")).where("acronym is not null").groupBy("acronym").agg(
         F.count("*").alias("n_rows"), F.countDistinct("uid").alias("n_uids"), F.sort_array(F.collect_set("uid")).alias("uids")
     )

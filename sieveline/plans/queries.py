@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import keys, similarity, text
 from ..functions.reference_data import TRAILING
 from ..operators import adjudication, benchmark, evaluation, names_index, screening
+from ..shipping import ship_package
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,7 +39,8 @@ def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names_index.derive(raw_names(spark, sf_dir))
+    """The index; it is kept for the session, as a stored one would be, and later queries find it by its plan."""
+    return names_index.derive(raw_names(spark, sf_dir)).persist()
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
