@@ -104,6 +104,9 @@ a AS (SELECT c_custkey AS uid, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS
       FROM customer JOIN nation ON c_nationkey = n_nationkey)
 """
 
+PUBLISHED_ALIASES = """SELECT o_custkey * 1048576 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS id, o_custkey AS uid, 'ORDER ' || o_orderkey AS last,
+       o_orderstatus = 'F' AS old, 'ORDER ' || o_orderkey || CASE WHEN o_orderstatus = 'F' THEN ', Old' ELSE '' END AS alias_name, o_orderstatus = 'P' AS is_weak FROM orders WHERE o_orderpriority = '5-LOW'"""
+
 SQL = {
     "normalize_names": f"SELECT conv_id, turn, {norm('text')} AS norm FROM conversations",
     "legal_forms": f"""SELECT p_partkey, nullif(regexp_extract(n, '(?:^| )({_T})$', 1), '') AS suffix, {one_off('n')} AS without_one, stem
@@ -137,6 +140,31 @@ SQL = {
         CASE WHEN hits > 0 THEN round((alerts - hits)::DOUBLE / hits, 2) END AS fp_per_true_hit FROM g""",
     "misses": CANDIDATES + """SELECT rk.query_id, rk.perturbation_type AS perturbation, rk.query_name, t.primary_name AS source_name, n.primary_name AS top_candidate
         FROM rk JOIN t ON t.uid = rk.source_uid LEFT JOIN cand c ON c.query_id = rk.query_id AND c.position = 1 LEFT JOIN nm n ON n.uid = c.uid WHERE rk.rank IS NULL""",
+    "list_entries": """SELECT c_custkey AS uid, CASE WHEN firm THEN 'entity' ELSE 'individual' END AS entry_type, CASE WHEN named THEN c_name || ', Given' ELSE c_name END AS primary_name,
+        CASE WHEN named THEN 'Given' END AS first_name, c_name AS last_name, c_mktsegment || ',' || n_name AS programs
+        FROM (SELECT *, c_mktsegment = 'MACHINERY' AS firm, c_mktsegment <> 'MACHINERY' AND c_acctbal > 0 AS named FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+    "list_aliases": f"SELECT id, uid, alias_name, is_weak FROM ({PUBLISHED_ALIASES})",
+    "list_features": """SELECT o_custkey AS uid, 'dob' AS feature_type, CASE WHEN o_orderstatus = 'P' THEN 'circa ' ELSE '' END || strftime(o_orderdate, '%d %b %Y') AS value_text,
+        CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS value_date, NULL AS value_country FROM orders WHERE o_orderpriority = '1-URGENT'
+        UNION ALL SELECT o_custkey, 'passport_no', o_orderkey::VARCHAR, strftime(o_orderdate, '%Y-%m-%d'), o_orderstatus FROM orders WHERE o_orderpriority = '3-MEDIUM'""",
+    "list_addresses": """SELECT c_custkey AS uid, CASE WHEN c_acctbal > 0 THEN 'No. ' || c_custkey || ', ' ELSE '' END || 'Floor 1' AS address, c_mktsegment AS city, n_name AS country
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "built_index": f"""WITH shown AS (SELECT c_custkey AS uid, CASE WHEN firm THEN 'entity' ELSE 'individual' END AS entry_type, 'primary' AS name_kind, FALSE AS is_weak, CASE WHEN NOT firm AND c_acctbal > 0 THEN 'Given ' || c_name ELSE c_name END AS display
+        FROM (SELECT *, c_mktsegment = 'MACHINERY' AS firm FROM customer)
+        UNION ALL SELECT uid, CASE WHEN firm THEN 'entity' ELSE 'individual' END, 'alias', is_weak, CASE WHEN old AND NOT firm THEN 'Old ' || last ELSE alias_name END
+        FROM ({PUBLISHED_ALIASES}) JOIN (SELECT c_custkey AS uid, c_mktsegment = 'MACHINERY' AS firm FROM customer) USING (uid)),
+        n AS (SELECT *, {norm('display')} AS name_norm FROM shown)
+        SELECT uid, entry_type, name_kind, is_weak, display, name_norm, CASE WHEN entry_type <> 'individual' THEN st END AS stem FROM {stripped('n', 'name_norm', 'st')}""",
+    "adjudicated": LIST_TABLES + """, g AS (SELECT uid, arg_min(y, id) FILTER (WHERE feature_type = 'dob') AS y, count(DISTINCT y) FILTER (WHERE feature_type = 'dob') AS ny,
+        count(*) FILTER (WHERE feature_type = 'place_of_birth') > 0 AS born, count(value_country) > 0 AS vc FROM f GROUP BY uid)
+        SELECT 'Q-' || e.uid AS query_id, CASE WHEN CASE WHEN entry_type = 'individual'
+          THEN ny = 1 AND ((a.country IS NOT NULL AND a.city IS NOT NULL) OR (a.country IS NULL AND coalesce(born, FALSE))) ELSE coalesce(vc, FALSE) OR a.country IS NOT NULL END
+        THEN 'true_match' ELSE 'possible_match' END AS outcome, e.uid::VARCHAR AS uids FROM e LEFT JOIN g USING (uid) LEFT JOIN a USING (uid)""",
+    "bootstrap": """WITH s AS (SELECT o_custkey AS c, sum((o_orderstatus = 'F')::INT)::DOUBLE AS s, count(*) AS n FROM orders GROUP BY 1),
+        d AS (SELECT s.*, r, ('0x' || left(md5(c || '|' || r || '|42'), 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM s, generate_series(0, 199) x(r)),
+        w AS (SELECT *, (SELECT count(*) FROM (SELECT k, sum(exp(-1.0) / gamma(k)) OVER (ORDER BY k) AS t FROM generate_series(1, 11) y(k)) WHERE u >= t) AS w FROM d),
+        m AS (SELECT r, sum(s * w) / sum(n * w) AS m FROM w GROUP BY r)
+        SELECT (SELECT round(sum(s) / sum(n), 6) FROM s) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
     "md5_sample": LIST_TABLES + """SELECT e.uid, e.primary_name, a.city, a.country FROM e JOIN a USING (uid) WHERE entry_type = 'individual'
         AND (EXISTS (SELECT 1 FROM f WHERE f.uid = e.uid AND f.feature_type = 'dob') OR a.country IS NOT NULL) ORDER BY md5(e.uid::VARCHAR), e.uid LIMIT 100""",
     "customer_attributes": LIST_TABLES + """, g AS (SELECT uid, arg_min(y, id) FILTER (WHERE feature_type = 'dob') AS y, count(DISTINCT y) FILTER (WHERE feature_type = 'dob') AS ny,

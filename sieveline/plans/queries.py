@@ -7,6 +7,10 @@ not. All rows of each table take part.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +19,7 @@ from ..functions import keys, similarity, text
 from ..functions.reference_data import TRAILING
 from ..operators import adjudication, benchmark, evaluation, names_index, screening
 from ..shipping import ship_package
+from ..sources import watchlist
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +184,57 @@ def _list_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return entries, features, addresses
 
 
+def _publication(spark, sf_dir) -> DataFrame:
+    """Customers written as a list publication and read back: aliases, birth dates and papers are their orders."""
+    o = _read(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "dd MMM yyyy"))
+    kind = F.col("o_orderpriority")
+    gathered = lambda when, item: F.sort_array(F.collect_list(F.when(when, F.struct("o_orderkey", item.alias("x")))))
+    text = lambda c: F.col(c).cast("string")
+    facts = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        gathered(kind == "5-LOW", F.struct(F.when(F.col("o_orderstatus") == "P", "Weak").otherwise("strong").alias("category"), F.concat(F.lit(" ORDER "), text("o_orderkey")).alias("lastName"), F.when(F.col("o_orderstatus") == "F", "Old").alias("firstName"))).alias("akas"),
+        gathered(kind == "1-URGENT", F.struct(F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("circa "), text("day"))).otherwise(F.col("day")).alias("dateOfBirth"))).alias("births"),
+        gathered(kind == "3-MEDIUM", F.struct(F.lit("Passport No.").alias("idType"), text("o_orderkey").alias("idNumber"), F.col("day").alias("issueDate"), F.col("o_orderstatus").alias("idCountry"))).alias("papers"),
+    )
+    c, n = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "nation")
+    items = lambda name: F.transform(name, lambda x: x["x"])
+    firm = F.col("c_mktsegment") == "MACHINERY"
+    address = F.struct(F.when(F.col("c_acctbal") > 0, F.concat(F.lit("No. "), text("c_custkey"))).alias("address1"), F.lit("Floor 1").alias("address3"), F.col("c_mktsegment").alias("city"), F.col("n_name").alias("country"))
+    entries = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(facts, "c_custkey", "left").select(
+        text("c_custkey").alias("uid"), F.when(firm, "Entity").otherwise("Individual").alias("sdnType"), F.when(~firm & (F.col("c_acctbal") > 0), "Given").alias("firstName"), F.col("c_name").alias("lastName"),
+        F.struct(F.array("c_mktsegment", "n_name").alias("program")).alias("programList"), F.struct(items("akas").alias("aka")).alias("akaList"),
+        F.struct(items("births").alias("dateOfBirthItem")).alias("dateOfBirthList"), F.struct(items("papers").alias("id")).alias("idList"), F.struct(F.array(address).alias("address")).alias("addressList"),
+    )
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "sieveline-lists")
+    path = f"{shared}/list-{uuid.uuid4().hex}"
+    entries.write.format("xml").option("rootTag", "sdnList").option("rowTag", "sdnEntry").save(path)
+    return watchlist.read_entries(spark, path)
+
+
+def list_entries(spark, sf_dir):
+    out = watchlist.entries(_publication(spark, sf_dir))
+    return out.select("uid", "entry_type", "primary_name", "first_name", "last_name", F.array_join("programs", ",").alias("programs"))
+
+
+def list_aliases(spark, sf_dir):
+    return watchlist.aliases(_publication(spark, sf_dir)).select("id", "uid", "alias_name", "is_weak")
+
+
+def list_features(spark, sf_dir):
+    out = watchlist.features(_publication(spark, sf_dir))
+    return out.select("uid", "feature_type", "value_text", F.date_format("value_date", "yyyy-MM-dd").alias("value_date"), "value_country")
+
+
+def list_addresses(spark, sf_dir):
+    return watchlist.addresses(_publication(spark, sf_dir)).select("uid", "address", "city", "country")
+
+
+def built_index(spark, sf_dir):
+    """The name index of the publication: primaries, then aliases."""
+    raw = _publication(spark, sf_dir)
+    out = names_index.build(watchlist.entries(raw), watchlist.aliases(raw))
+    return out.select("uid", "entry_type", "name_kind", "is_weak", "display", "name_norm", "stem")
+
+
 def md5_sample(spark, sf_dir):
     e, f, a = _list_tables(spark, sf_dir)
     return benchmark.sample(e, f, a, "individual", 100, ("dob",)).select("uid", "primary_name", "city", "country")
@@ -282,7 +338,8 @@ def outcome_intervals(spark, sf_dir):
 
 def bootstrap(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("hit"))
-    return adjudication.cluster_bootstrap(o, "o_custkey", "hit", 200)
+    r = adjudication.cluster_bootstrap(o, "o_custkey", "hit", 200)
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
 def mcnemar(spark, sf_dir):
@@ -305,7 +362,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         screen, screened_records, normalize_names, legal_forms, name_acronyms, acronym_group_sizes, trigram_topk, phonetic_overlap, acronym_lookup, token_similarity, idf,
-        name_scores, recall_at_k, recall_by_perturbation, operating_points, threshold_baseline, misses, md5_sample, customer_attributes, first_place, feature_histogram,
+        name_scores, recall_at_k, recall_by_perturbation, operating_points, threshold_baseline, misses, list_entries, list_aliases, list_features, list_addresses, built_index, md5_sample, customer_attributes, first_place, feature_histogram,
         birth_years, listed_dates, stratified_split, frozen_split, perturb_companies, perturb_drawn, benchmark_queries, benchmark_conformance, benchmark_split_report,
         adjudicated, outcome_intervals, bootstrap, mcnemar, flip_rate, confusion,
     )
