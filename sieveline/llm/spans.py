@@ -1,7 +1,7 @@
 """Operator 7: substring deduplication by sliding sentence spans.
 
 A text is a row of sentences: they end at ``.``, ``!`` or ``?`` before a blank and at line breaks, and long ones also at words
-whose own hash says so (one in 16), which lie at the same places wherever a passage is quoted. From each sentence
+whose own hash says so (one in 8), which lie at the same places wherever a passage is quoted. From each sentence
 the shortest run of at least two sentences and ``min_words`` words is a span; its key is 128 bits of hash over its
 lower-cased words. Spans are joined globally: of equal spans the first (smallest id, then position) stays, and sentences
 that another one covers are removed. A passage of over twice ``min_words`` words is found even if its ends run
@@ -26,7 +26,7 @@ from . import common
 from .words import hash_slices, mix, words
 
 MIN_WORDS = 20
-LONG_SENTENCE, CUT_ONE_IN = 24, 16  # sentences of more words are cut at words of which one in so many hashes to a cut
+LONG_SENTENCE, CUT_ONE_IN = 12, 8  # sentences of more words are cut at words of which one in so many hashes to a cut
 CHAINED = 1024  # words of a span that are hashed side by side with those of all others
 LAST = 2**63 - 1
 
