@@ -120,9 +120,14 @@ def marginals(emission: np.ndarray, mask: np.ndarray, transitions: np.ndarray, p
 def _sample_windows(docs: DataFrame, per_label: int) -> tuple[list[str], list[list[bytes]]]:
     """Labels and word windows of the bounded training sample."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    key = F.xxhash64(F.col("doc_id"), F.lit(8))
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not many:
+        return [], []
+    # hashes are uniform: twice the share that is wanted holds the smallest ones of each label, whatever the number of rows
+    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(8)), 11)
+    bound = F.create_map(*[x for lang, n in many.items() for x in (F.lit(lang), F.lit(int(min(1.0, 2 * per_label / n) * (1 << 53))))])
     drawn = (
-        rows.select("doc_id", "lang", key.alias("key"))
+        rows.select("doc_id", "lang", key.alias("key")).where(F.col("key") <= bound[F.col("lang")])
         .withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("r") <= per_label)
         .select("doc_id", "lang").collect()  # per_label ids of each label
     )
