@@ -31,12 +31,12 @@ CHUNK, RERANK = 4096, 96
 QUERIES = 16384  # a block of queries that is sent to every task: 16,384 x 64 x 8 bytes = 8 MB
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(id, vec) of the vectors that take part, and their number of components."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, int]:
+    """(id, vec) of the vectors that take part, their number of components, and how many they are."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
     v = v.where(F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vec, x -> x <> 0)"))
     top = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return (v.where(F.size("vec") == top["d"]), top["d"]) if top else (v, 0)
+    return (v.where(F.size("vec") == top["d"]), top["d"], top["count"]) if top else (v, 0, 0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -98,9 +98,12 @@ def _vectors(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def build_index(vectors: DataFrame, d: int, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
-    """The written index (id, vec, code, norm) of every row of (id, vec), and the codebooks."""
-    drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+def build_index(vectors: DataFrame, d: int, n: int, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
+    """The written index (id, vec, code, norm) of every one of the ``n`` rows of (id, vec), and the codebooks."""
+    key = F.shiftrightunsigned(F.xxhash64("id"), 11)
+    # hashes are uniform: twice the share that is wanted holds the smallest, so tasks need not hand over ``sample`` rows each
+    few = vectors.where(key <= int(min(1.0, 2 * sample / max(n, 1)) * (1 << 53)))
+    drawn = few.orderBy(key, "id").limit(sample).collect()
     books = train(_unit(np.array([r["vec"] for r in drawn], np.float64).reshape(-1, d))) if drawn else np.zeros((BOOKS, ENTRIES, max(d, 1)), np.float32)
     sent = vectors.sparkSession.sparkContext.broadcast(books)
 
@@ -212,6 +215,6 @@ def search(index: DataFrame, books: np.ndarray, d: int, every: int, k: int = 5,
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    use, d = usable(vectors, id_col, vec_col)
-    index, books = build_index(use, d)
+    use, d, n = usable(vectors, id_col, vec_col)
+    index, books = build_index(use, d, n)
     return search(index, books, d, every, k)
