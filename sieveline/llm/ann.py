@@ -192,7 +192,7 @@ def search(index: DataFrame, books: np.ndarray, d: int, every: int, k: int = 5,
                     best, q_id, q, q_length, tables, table["id"].to_numpy(), _vectors(table["vec"].combine_chunks(), d), code, table["norm"].to_numpy(), rerank
                 )
 
-            for batch in batches:
+            for batch in common.slices(batches, 1024):
                 held.append(batch)
                 if sum(map(len, held)) >= CHUNK:
                     flush()
@@ -204,7 +204,6 @@ def search(index: DataFrame, books: np.ndarray, d: int, every: int, k: int = 5,
             )
 
         common.ship_package(spark)
-        common.small_batches(spark, 1024)
         one = index.select("id", "vec", "code", "norm").mapInArrow(run, "query_id long, vec_id long, score double")
         best = one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if blocks > 1:

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,11 +18,16 @@ from ..shipping import ship_package
 BLANKS = "\t\n\x0b\x0c\r "
 #: Upper bound of text bytes that one vectorised step holds at a time; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
+#: Rows of an Arrow batch that a function gets at once. Batches themselves are bounded by Spark (``arrow.maxBytesPerBatch``, 64 MB).
+BATCH_ROWS = 512
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is configured a local one is made (tests)."""
+    """The folder that driver and executors share; where none is configured, a local master gets one of its own, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share with the driver")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "sieveline-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -51,18 +56,19 @@ def drop_table(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what a Python worker receives at once: texts can be long, so few rows travel together."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, without copying: no setting of the session is touched."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with one Arrow batch in and one or several out."""
+    """``mapInArrow`` with one bounded Arrow batch in and one or several out."""
     ship_package(df.sparkSession)
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = fn(batch)
             if isinstance(out, pa.RecordBatch):
                 yield out
@@ -84,6 +90,35 @@ def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
         yield begin, len(sizes)
 
 
+def version(text: Column) -> Column:
+    """64 bits that tell texts with the same id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+#: A key with more than one in HOT_SHARE of all rows is dealt over HOT_PARTS tasks; fewer than HOT_SHARE keys can be so frequent.
+HOT_SHARE, HOT_PARTS = 256, 64
+
+
+def join_hot(rows: DataFrame, single: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``single``, which has one row a key, where one key may hold any share of ``rows``.
+
+    Frequent keys are counted first (pre-aggregated, fewer than ``HOT_SHARE`` of them can exist, so broadcasting them is
+    bounded); their rows are dealt by ``spread`` over ``HOT_PARTS`` tasks, and their single row is repeated as often.
+    ``rows`` is read twice: best a written table.
+    """
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    counts = rows.groupBy(*named).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*").alias("_all"))  # one row
+    marks = [f"_k{i}" for i in range(len(keys))]
+    hot = counts.join(F.broadcast(total)).where(F.col("_n") * HOT_SHARE > F.col("_all")).select(*marks, F.lit(True).alias("_hot"))
+    hot = F.broadcast(materialize(hot, "hot-keys"))  # fewer than HOT_SHARE rows
+    tell = lambda df: df.join(hot, [df[k].eqNullSafe(hot[m]) for k, m in zip(keys, marks, strict=True)], "left").drop(*marks)
+    left = tell(rows).withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(HOT_PARTS)).cast("int")).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = tell(single).withColumn("_part", F.explode(parts)).drop("_hot")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every vertex in ``edges``: (id, component).
 

@@ -11,14 +11,16 @@ Only (hash, id) rows are shuffled to find repeated spans, pre-aggregated; a span
 hold is one row on the smaller side of the join that marks them, and its other side can be split.
 
 Defined results: null and empty texts have no sentence and stay as they are; a null id sorts behind all others; rows
-with equal ids count as one document between documents; blanks behind a removed sentence go with it.
+with equal ids count as one document between documents, but each text keeps its own marks (id and 64 bits of hash of
+the text tell them apart), and a span that only rows of one id hold stays in each of them; blanks behind a removed
+sentence go with it. An empty table gives an empty one. Other columns come along, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -94,30 +96,35 @@ def _local_first(s: Sentences, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h1, h2, doc, at) of the distinct spans of each (doc, text): ``at`` is the first sentence."""
+    """(h1, h2, doc, version, at) of the distinct spans of each (doc, version, text): ``at`` is the first sentence."""
 
     def run(batch: pa.RecordBatch):
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        keys, versions = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
         for a, b in common.steps([len(x) for x in texts]):
             s = Sentences(texts[a:b], min_words)
             firsts = [_local_first(s, x, y)[0] for x, y in zip(s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)]
             row = np.repeat(np.arange(len(firsts)), [len(x) for x in firsts])
             at = np.concatenate([*firsts, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.h1[at]), pa.array(s.h2[at]), pa.array(keys[a + row].astype(np.int64)), pa.array((at - s.bounds[row]).astype(np.int32))],
-                ["h1", "h2", "doc", "at"],
+                [pa.array(s.h1[at]), pa.array(s.h2[at]), pa.array(keys[a + row]), pa.array(versions[a + row]), pa.array((at - s.bounds[row]).astype(np.int32))],
+                ["h1", "h2", "doc", "version", "at"],
             )
 
-    return common.map_batches(docs.select("doc", "text"), run, "h1 long, h2 long, doc long, at int")
+    return common.map_batches(docs.select("doc", "version", "text"), run, "h1 long, h2 long, doc long, version long, at int")
+
+
+def _keyed(id_col: str, text_col: str) -> list[Column]:
+    """(doc, version): the place of a row among documents, and which of the texts with its id it has."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), common.version(F.col(text_col)).alias("version")]
 
 
 def _marks(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, marks): the first sentences of spans that a smaller id holds as well."""
+    """(doc, version, marks): the first sentences of spans that a smaller id holds as well."""
     spans = span_table(docs, min_words)
     shared = spans.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     shared = common.materialize(shared, "span-shared")
-    return spans.join(shared, ["h1", "h2"]).where("lo < doc").groupBy("doc").agg(F.collect_set("at").alias("marks"))
+    return spans.join(shared, ["h1", "h2"]).where("lo < doc").groupBy("doc", "version").agg(F.collect_set("at").alias("marks"))
 
 
 def _cut(texts: list[bytes], marks: list[list[int] | None], min_words: int) -> tuple[list[int], list[int], list[bytes]]:
@@ -144,8 +151,8 @@ def _cut(texts: list[bytes], marks: list[list[int] | None], min_words: int) -> t
 
 def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, n_removed, text) of every row: ``text`` without sentences that a non-first repeated span covers."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = docs.join(_marks(docs.select("doc", "text"), min_words), "doc", "left").select("doc_id", "text", "marks")
+    docs = docs.select(*_keyed(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    joined = docs.join(_marks(docs.select("doc", "version", "text"), min_words), ["doc", "version"], "left").select("doc_id", "text", "marks")
 
     def run(batch: pa.RecordBatch):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -163,12 +170,12 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
 def with_spans_removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its columns, its ``text`` cut and ``n_chars`` (if there) following it."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
-    marks = _marks(keyed.select("doc", F.col("row.text").alias("text")), min_words)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keyed("doc_id", "text"))
+    marks = _marks(keyed.select("doc", "version", F.col("row.text").alias("text")), min_words)
     # by position, so that no name of a column can clash
     names = docs.columns
     fields = [F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)]
-    joined = keyed.join(marks, "doc", "left").select("marks", *fields)
+    joined = keyed.join(marks, ["doc", "version"], "left").select("marks", *fields)
     at = names.index("text") + 1
 
     def run(batch: pa.RecordBatch):

@@ -128,3 +128,18 @@ def test_columns_stay(docs):
 
 def test_empty_table(nothing):
     assert spans.dedup_spans(nothing).collect() == []
+
+
+def test_each_text_of_an_id_has_its_own_marks(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    prose = lambda n: " ".join(" ".join(rng.choice(words) for _ in range(8)) + "." for _ in range(n))
+    passage, unique = prose(13), prose(13)
+    for other in (30, None):
+        rows = [(1, passage), (other, passage), (other, unique), (other, prose(2) + " " + passage), (other, prose(40)), (other, ""), (other, None), (other, unique)]
+        for order in (rows, rows[::-1]):
+            got = sorted(map(tuple, spans.dedup_spans(make(spark, order)).collect()), key=repr)
+            wanted = [(i, n, k, None if (i, n, t) == (other, 0, None) else t) for i, n, k, t in brute(order)]
+            assert got == sorted(wanted, key=repr)
+            kept = [r["text"] for r in spans.with_spans_removed(make(spark, order)).collect()]
+            assert kept.count(unique) == 2 and kept.count(passage) == 1
