@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -44,9 +45,34 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sieveline_path = path  # noqa: SLF001
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialized inside are deleted in the end, but for those given to the function it yields: a later plan reads them."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                drop_table(df)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a ``materialize``d table that no later plan reads."""
     path = getattr(df, "_sieveline_path", None)

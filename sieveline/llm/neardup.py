@@ -1,11 +1,11 @@
 """Operator 2: near-duplicate documents by bottom-k sketches and exact verification.
 
 1. One hash function over each document's distinct word shingles; its k smallest values are the sketch. Equal
-   sets (by size and 128 bits of their hashes) become one class, represented by its smallest id: copies cost one row.
+   sets (by size and 128 bits of their hashes) become one class: copies cost one row, aggregated before the shuffle.
 2. Inverted lists of retained values generate pairs. Two sketches of similar sets share at least ``_needed`` values,
    so, with values ordered from rare to frequent, they share one among the first |sketch| - needed + 1 (the prefix
    filter principle): only those are listed, and frequent values drop out of most lists.
-3. Within a list every member is first paired with the list's smallest only. Verified links give components;
+3. Within a list every member is first paired with the list's smallest class only. Verified links give components;
    lists whose members are in one component are done. In the others the members outside the list's main component
    are paired with those of other components: row by row in lists of up to ``SMALL`` members; members of longer lists
    are gathered by main component, once whatever number of lists they share, and compared in blocks, which emit no
@@ -15,9 +15,14 @@
    exact for sets within k), then exact Jaccard on full sets, recomputed from whole texts. In blocks sketches have
    ``WIDE`` values, so that most sets are whole and confirmed there.
 
-Defined results: documents without words have empty sets and are linked with nothing; rows with a null id have no
-component and are kept; rows with equal ids count as one document. Links are missed only if a sketch deviates by more
-than 4.5 standard deviations (under one in 100,000 at a similarity of exactly the threshold, far less above).
+Joins on a list's head and on the class of many copies deal frequent keys over several tasks (``common.join_hot``).
+
+Defined results: documents without words or text have empty sets and are linked with nothing; rows with a null id have
+no component and are kept. An id is one document: rows that repeat it, with equal or different texts, are linked by it,
+and each of them is returned with its own number of shingles; the order of rows changes nothing. Ties do not arise, a
+component is named by its smallest id. An empty table gives an empty one; other columns play no part, whatever their
+names. Links are missed only if a sketch deviates by more than 4.5 standard deviations (under one in 100,000 at a
+similarity of exactly the threshold, far less above); ``k=EXACT`` keeps whole sets as sketches and finds every link.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from .words import mix, shingle_sets
 
 K = 64
 WIDE = 512
+EXACT = (1 << 31) - 1
 SMALL = 48
 ROWS, COLUMNS = 128, 512  # members that one block compares
 _TOP = np.uint64(1 << 63)
@@ -60,10 +66,10 @@ def _needed(n: int, k: int, percent: int) -> int:
 
 
 def sketches(docs: DataFrame, width: int, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, s1, s2, sketch): set size, 128-bit set hash and k smallest shingle hashes of each document."""
+    """(doc_id, version, n, s1, s2, sketch): set size, 128-bit set hash and k smallest shingle hashes of each document."""
 
     def run(batch: pa.RecordBatch):
-        texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+        texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
         for a, b in common.steps([len(x) for x in texts]):
             sets = shingle_sets(texts[a:b], width)
             n = np.array([len(s) for s in sets], np.int64)
@@ -76,17 +82,18 @@ def sketches(docs: DataFrame, width: int, k: int = K, id_col: str = "doc_id", te
             low = [_signed(s[:k]) for s in sets]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in low]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums[0]), pa.array(sums[1]),
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(sums[0]), pa.array(sums[1]),
                  pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*low, np.zeros(0, np.int64)])))],
-                ["doc_id", "n", "s1", "s2", "sketch"],
+                ["doc_id", "version", "n", "s1", "s2", "sketch"],
             )
 
-    return common.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.version(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
+    return common.map_batches(rows, run, "doc_id long, version long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def postings(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(value, class, n): the rarest values of each sketch that its prefix holds; values of a single class are never listed."""
-    exploded = classes.select(F.col("id").alias("class"), "n", F.explode("sketch").alias("value"))
+    exploded = classes.select("class", "n", F.explode("sketch").alias("value"))
     frequent = exploded.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = exploded.join(frequent, "value")
     whole = F.col("n") * 100 <= percent * k
@@ -104,9 +111,9 @@ def _similar_sizes(a: str, b: str, percent: int):
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose union-sketch estimate does not rule them out."""
-    left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("ska"), F.col("n").alias("na"))
-    right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("skb"), F.col("n").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b")
+    left = classes.select(F.col("class").alias("a"), F.col("sketch").alias("ska"), F.col("n").alias("na"))
+    right = classes.select(F.col("class").alias("b"), F.col("sketch").alias("skb"), F.col("n").alias("nb"))
+    both = common.join_hot(pairs, left, ["a"], ["b"]).join(right, "b")
     common_values = F.array_intersect("ska", "skb")
     union = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k)
     hits = F.size(F.array_intersect(union, common_values))
@@ -115,11 +122,22 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
     return both.where(F.when(exact, whole).otherwise((hits + _slack(k, percent)) * 100 >= percent * F.size(union))).select("a", "b")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` with that exact Jaccard similarity over the shingles of their whole texts."""
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, text) of the ``wanted`` classes: the text of each one's representative row, once if that row is repeated."""
+    few = classes.select("class", "doc_id", "version").join(wanted, "class", "left_semi")
+    return docs.join(few, ["doc_id", "version"]).select("class", "text").dropDuplicates(["class"])
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` (a written table) with that exact Jaccard similarity over the shingles of their whole texts.
+
+    A class's text is fetched once; the text of a head that many pairs share is shuffled once for each of its parts.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    texts = common.materialize(texts_of(wanted, classes, docs), "near-texts")
     joined = (
-        pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        common.join_hot(pairs, texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), ["a"], ["b"])
+        .join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
     )
 
@@ -146,7 +164,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k: int, percent: int) -> DataFrame:
-    return confirm(common.materialize(likely(pairs, classes, k, percent), "near-likely"), docs, width, percent)
+    """The similar ones among ``pairs`` (a written table)."""
+    return confirm(common.materialize(likely(pairs, classes, k, percent), "near-likely"), classes, docs, width, percent)
 
 
 def _block_links(table: pa.Table, percent: int, k: int) -> pa.Table:
@@ -211,11 +230,11 @@ def _block_links(table: pa.Table, percent: int, k: int) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
 
 
-def block_links(apart: DataFrame, docs: DataFrame, width: int, percent: int, wide: int = WIDE) -> DataFrame:
+def block_links(apart: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, wide: int = WIDE) -> DataFrame:
     """(a, b, sure) of similar pairs across components among (main, class, component): blocks of bounded size."""
     members = common.materialize(apart.select("main", F.col("class").alias("id"), "component").distinct(), "near-members")
-    needed = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    wider = common.materialize(sketches(needed, width, wide).select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id", "n"]), "near-wide")
+    needed = texts_of(members.select(F.col("id").alias("class")), classes, docs)
+    wider = common.materialize(sketches(needed, width, wide, "class").select(F.col("doc_id").alias("id"), "n", "sketch"), "near-wide")
     outside = F.col("component") != F.col("main")
     sizes = members.groupBy("main").agg(F.ceil(F.sum(outside.cast("long")) / ROWS).alias("rows"), F.ceil(F.count("*") / COLUMNS).alias("columns"))
     placed = members.join(sizes, "main")
@@ -229,59 +248,95 @@ def block_links(apart: DataFrame, docs: DataFrame, width: int, percent: int, wid
     return rows.groupBy("main", "rb", "cb").applyInArrow(lambda t: _block_links(t, percent, wide), "a long, b long, sure boolean")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: (doc_id, n_shingles, component_id, kept)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = common.materialize(sketches(docs, width, k), "near-sketches")
-    # a copy's sketch is its class's: taken from any row of it
-    classes = (
-        table.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
-        .agg(F.min("doc_id").alias("id"))
-    )
-    classes = common.materialize(classes, "near-classes")
-    represented = table.select("doc_id", "n", "s1", "s2", "sketch").join(
-        classes.select(F.col("id").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi"
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text", by_id: bool = True
+) -> DataFrame:
+    """One row a document: (doc_id, n_shingles, component_id, kept, version); ``version`` tells the texts of one id apart.
+
+    Without ``by_id`` rows are not linked by a common id, only by what they hold.
+    """
+    with common.scratch() as keep:
+        table, named = _components(docs, width, percent, k, id_col, text_col, by_id)
+        keep(table)
+        keep(named)
+    return (
+        common.join_hot(table.select("doc_id", "version", "n", "s1", "s2"), named, ["n", "s1", "s2"], ["doc_id", "version"], "left")
+        .select(
+            "doc_id", F.col("n").alias("n_shingles"),
+            F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"), "version",
+        )
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("doc_id", "n_shingles", "component_id", "kept", "version")
     )
-    represented = common.materialize(represented.select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id", "n"]), "near-represented")
-    lists = common.materialize(postings(represented, k, percent), "near-lists")
+
+
+def _components(docs: DataFrame, width: int, percent: int, k: int, id_col: str, text_col: str, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The written tables of sketches, and of component names by class (n, s1, s2, component_id)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("version", common.version(F.col("text")))
+    table = common.materialize(sketches(docs, width, k), "near-sketches")
+    # classes get numbers of their own, since an id can have several; the numbers are fixed once they are written
+    representative = F.min(F.struct("doc_id", "version")).alias("r")
+    classes = table.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(representative, F.any_value("sketch").alias("sketch"))
+    classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("class"), "n", "s1", "s2", "r.doc_id", "r.version", "sketch"), "near-classes")
+    lists = common.materialize(postings(classes, k, percent), "near-lists")
 
     heads = lists.groupBy("value").agg(F.min(F.struct("class", "n")).alias("head"))
     stars = (
         lists.join(heads, "value").select(F.col("head.class").alias("a"), F.col("head.n").alias("na"), F.col("class").alias("b"), F.col("n").alias("nb"))
         .where("a < b").where(_similar_sizes("na", "nb", percent)).select("a", "b").distinct()
     )
-    first = common.materialize(verify(stars, represented, docs, width, k, percent), "near-links")
+    stars = common.materialize(stars, "near-stars")
+    first = common.materialize(verify(stars, classes, docs, width, k, percent), "near-links")
     groups = common.connected_components(first)
     placed = common.materialize(
         lists.join(groups.withColumnRenamed("id", "class"), "class", "left").select("value", "class", "n", F.coalesce("component", "class").alias("component")),
         "near-placed",
     )
     counted = placed.groupBy("value", "component").agg(F.count("*").alias("m"))
-    # of equally large components the smallest id, so that lists with the same members agree
+    # of equally large components the smallest class, so that lists with the same members agree
     mixed = counted.groupBy("value").agg(
         F.max_by("component", F.struct("m", -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("total")
     ).where("parts > 1").select("value", "main", "total")
     apart = placed.join(mixed, "value")
     short = apart.where(F.col("total") <= SMALL)
     few = short.where("component <> main").select("value", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    # pairs of two outsiders are met once, from the smaller id
+    # pairs of two outsiders are met once, from the smaller class
     pairs = (
         few.join(short.select("value", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main"), "value")
         .where("cx <> cy and (cy = main or x < y)").where(_similar_sizes("nx", "ny", percent))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
-    second = verify(pairs.join(stars, ["a", "b"], "left_anti"), represented, docs, width, k, percent)
-    blocks = common.materialize(block_links(apart.where(F.col("total") > SMALL), docs, width, percent), "near-blocks")
-    third = confirm(blocks.where("not sure").select("a", "b").distinct(), docs, width, percent)
-    links = common.materialize(first.unionByName(second).unionByName(blocks.where("sure").select("a", "b")).unionByName(third), "near-links")
-    final = common.connected_components(links)
-    named = classes.join(final, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component_id"))
-    named = named.groupBy("n", "s1", "s2").agg(F.min("component_id").alias("component_id"))
-    return (
-        table.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-        .select(
-            "doc_id", F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"),
+    rest = common.materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
+    second = verify(rest, classes, docs, width, k, percent)
+    blocks = common.materialize(block_links(apart.where(F.col("total") > SMALL), classes, docs, width, percent, max(k, WIDE)), "near-blocks")
+    unsure = common.materialize(blocks.where("not sure").select("a", "b").distinct(), "near-unsure")
+    third = confirm(unsure, classes, docs, width, percent)
+    links = first.unionByName(second).unionByName(blocks.where("sure").select("a", "b")).unionByName(third)
+    if by_id:
+        # an id with several texts links their classes: from the smallest to each
+        held = table.where("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2")
+        differs = F.expr("min(s1) <> max(s1) or min(s2) <> max(s2) or min(n) <> max(n)")
+        several = held.groupBy("doc_id").agg(differs.alias("d")).where("d").select("doc_id")
+        own = held.join(several, "doc_id").distinct().join(classes.select("n", "s1", "s2", "class"), ["n", "s1", "s2"]).select("doc_id", "class")
+        own = common.materialize(own, "near-same-id")
+        links = links.unionByName(
+            own.join(own.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").where("a <> class").select("a", F.col("class").alias("b"))
         )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    final = common.connected_components(common.materialize(links, "near-links"))
+    in_component = classes.select("class", "n", "s1", "s2", "doc_id").join(final.withColumnRenamed("id", "class"), "class", "left")
+    in_component = in_component.withColumn("component", F.coalesce("component", "class"))
+    smallest = in_component.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return table, common.materialize(in_component.join(smallest, "component").select("n", "s1", "s2", "component_id"), "near-named")
+
+
+def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) but those that are linked to a row with a smaller id.
+
+    Each row is judged by its own text: of two texts under one id one can go and the other stay. Columns and their order stay.
+    """
+    marked = near_duplicates(docs, width, percent, k, by_id=False).where("not kept").select("doc_id", "version").distinct()
+    names = docs.columns
+    packed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), common.version(F.col("text")).alias("version"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     )
+    return packed.join(marked, ["doc_id", "version"], "left_anti").select(*[F.col("row").getField(c).alias(c) for c in names])

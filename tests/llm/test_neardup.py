@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.llm import common, neardup
 
@@ -42,8 +43,8 @@ def brute(rows, width: int, percent: int = 80) -> list[tuple]:  # noqa: ANN001
     return sorted(out, key=repr)
 
 
-def run(df, width: int) -> list[tuple]:  # noqa: ANN001
-    return sorted(map(tuple, neardup.near_duplicates(df, width=width).collect()), key=repr)
+def run(df, width: int, **more) -> list[tuple]:  # noqa: ANN001, ANN003
+    return sorted(map(tuple, neardup.near_duplicates(df, width=width, **more).drop("version").collect()), key=repr)
 
 
 def corpus(seed: int, groups: int, copies: int) -> list[tuple]:
@@ -64,8 +65,7 @@ def corpus(seed: int, groups: int, copies: int) -> list[tuple]:
 
 @pytest.mark.parametrize("width", [2, 5])
 def test_awkward_documents(docs, width):
-    rows = [r for r in awkward() if r[0] != 30]  # number 30 is there with two texts
-    assert run(docs.where("doc_id is null or doc_id <> 30"), width) == brute(rows, width)
+    assert run(docs, width) == brute(awkward(), width)  # number 30 is there with two texts
 
 
 @pytest.mark.parametrize(("seed", "width"), [(1, 2), (2, 2), (3, 5)])
@@ -90,9 +90,35 @@ def test_exactly_at_the_threshold(spark):
     assert got == {r[0]: r[2] for r in brute(rows, 2)} and got[5] == 3
 
 
-def test_repeated_ids_do_not_crash(docs):
-    out = neardup.near_duplicates(docs, width=2)
-    assert out.count() == docs.count()
+def test_repeated_ids_link_their_texts(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"v{rng.randrange(900)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(30, a), (30, b), (40, b + " x"), (20, a + " y"), (50, c), (50, c), (None, a), (60, c + " z"), (60, text())]
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        got = run(make(spark, order), 2)
+        assert got == brute(order, 2)
+        assert {r[2] for r in got if r[0] in (20, 30, 40)} == {20}
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    rng = random.Random(9)
+    a, b = (" ".join(f"v{rng.randrange(900)}" for _ in range(60)) for _ in range(2))
+    rows = [(20, a + " y"), (30, a), (30, b), (30, None), (None, a), (40, b)]
+    df = make(spark, rows).withColumns({c: F.lit(c) for c in ("version", "kept", "class", "n", "row", "_near_id")})
+    out = neardup.drop_copies(df)
+    assert out.columns == df.columns and {r["version"] for r in out.collect()} == {"version"}
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([rows[0], *rows[2:5]], key=repr)
+
+
+def test_whole_sets_find_every_link(spark):
+    rows = corpus(21, 25, 8) + [(9000, " ".join(f"q{i}" for i in range(700))), (9001, " ".join(f"q{i}" for i in range(20, 760)))]
+    assert run(make(spark, rows), 2, k=neardup.EXACT) == brute(rows, 2)
+
+
+def test_a_class_may_hold_most_rows(spark):
+    rows = [(i, "one and the same text of a few words") for i in range(900)] + corpus(3, 10, 4)[1:]
+    assert run(make(spark, rows), 2) == brute(rows, 2)
 
 
 def test_empty_table(nothing):
