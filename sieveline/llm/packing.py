@@ -9,7 +9,9 @@ sequence and offset its r-th piece gets; ranks come from salted windows, so a le
 have is dealt out.
 
 Defined results: null text is the empty text, an empty text is the end token alone; repeated rows are packed each;
-null ids pass through. Only documents over ``capacity`` are cut.
+null ids pass through. Only documents over ``capacity`` are cut. Of equal lengths those with smaller ids and pieces get
+the earlier places of their part; which of several equal rows gets which place is open. An empty table gives an empty
+one. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,85 +33,74 @@ from . import common
 
 CAPACITY = 4096
 END = 1
-#: Bound of a worker's cache of pieces; beyond it the cache starts anew.
-CACHE_CHUNKS = 1_000_000
-
+#: Bound of the bytes that a worker's cache of pieces holds; beyond it the cache starts anew. Longer pieces are not kept.
+CACHE_BYTES, CACHED_PIECE, ENTRY_BYTES = 192 << 20, 64, 150
 
+_LETTER = rb"[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
 #: Pieces of a text that can be encoded alone: runs of ASCII and Latin-1 letters and runs of ASCII digits and signs, where neither meets a
 #: character beyond these (it might combine or be of the same kind) and no apostrophe precedes a letter; else all up to the next blank.
-PIECES = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])|[!-&(-@\[-`{-~]++(?![\x00-\x08\x0e-\x1f\x7f-\xff'])|[^\t-\r ]++")
-_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PIECES = re.compile(rb"((?:" + _LETTER + rb")++)(?![\x80-\xff])|([!-&(-@\[-`{-~]++(?![\x00-\x08\x0e-\x1f\x7f-\xff'])|[^\t-\r ]++)")
+_LETTERS = re.compile(rb"(?:" + _LETTER + rb")+")
 
 
-class PieceEncoder:
+class PieceEncoder(dict):
     """Ids of texts by a public tokenizer that never joins across blanks, nor letters with signs.
 
-    Each distinct chunk between blanks is looked up; a new one is put together from its pieces, and only a new piece is
-    encoded. Words of plain letters go to the tokenizer's model directly, in the form its normaliser would give them.
+    Maps each chunk between blanks, and each piece of one, to its ids as little-endian bytes; a new chunk is put together
+    from its pieces, and only a new piece is encoded. Words of plain letters go to the tokenizer's model directly, in the
+    form its normaliser would give them. A text that holds the string of an added token (``<|endoftext|>``) is left to the
+    library as a whole, which gives such a string its own id.
     """
 
     def __init__(self, tokenizer_json: bytes):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_buffer(tokenizer_json)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._model = self._tokenizer.model
-        self._reset()
-
-    def _reset(self) -> None:
-        self._index: dict[bytes, int] = {}  # chunks and pieces: both are texts of their own
-        self._at, self._size, self._flat = array.array("q"), array.array("q"), array.array("I")
-
-    def _store(self, piece: bytes, ids) -> int:  # noqa: ANN001
-        i = self._index[piece] = len(self._at)
-        self._at.append(len(self._flat))
-        self._size.append(len(ids))
-        self._flat.extend(ids)
-        return i
-
-    def _piece(self, piece: bytes) -> int:
-        if (i := self._index.get(piece)) is not None:
-            return i
-        if not _LETTERS.fullmatch(piece):
-            return self._store(piece, self._tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        low = piece.decode().lower().encode()
-        if (i := self._index.get(low)) is None:
-            i = self._store(low, [t.id for t in self._model.tokenize(low.decode("latin-1").translate(_VISIBLE))])
-        self._index[piece] = i
-        return i
-
-    def _chunk(self, chunk: bytes) -> int:
-        parts = [self._piece(p) for p in PIECES.findall(chunk)]
-        if len(parts) == 1:
-            return parts[0]
-        ids = array.array("I")
-        for i in parts:
-            at = self._at[i]
-            ids += self._flat[at : at + self._size[i]]
-        return self._store(chunk, ids)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and how many each has."""
-        if len(self._index) > CACHE_CHUNKS:
-            self._reset()
-        split = [t.split() for t in texts]  # of bytes: at ASCII blanks
-        chunks = [c for s in split for c in s]
-        which = list(map(self._index.get, chunks))
-        if None in which:
-            get = self._index.get
-            for k, i in enumerate(which):
-                if i is None:
-                    c = chunks[k]
-                    which[k] = self._chunk(c) if (i := get(c)) is None else i
-        which = np.array(which, np.int64)
-        at, size = np.frombuffer(self._at, np.int64), np.frombuffer(self._size, np.int64)
-        n = size[which]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(n) else 0
-        ids = np.frombuffer(self._flat, np.uint32)[np.arange(total) + np.repeat(at[which] - (ends - n), n)] if total else np.zeros(0, np.uint32)
-        cut = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
-        return ids, np.diff(cut)
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens must be plain strings")
+        self._added = [t.content.encode() for t in added]
+        self._bytes = 0
+
+    def _keep(self, piece: bytes, ids: bytes) -> bytes:
+        if len(piece) <= CACHED_PIECE:
+            self[piece] = ids
+            self._bytes += ENTRY_BYTES + len(piece) + len(ids)
+        return ids
+
+    def _by_library(self, text: bytes) -> bytes:
+        return np.array(self._tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        plain = word.isascii()
+        low = word.lower() if plain else word.decode().lower().encode()
+        if (ids := self.get(low)) is None:
+            shown = low.decode() if plain else low.decode("latin-1").translate(_VISIBLE)
+            ids = self._keep(low, array.array("I", [t.id for t in self._model.tokenize(shown)]).tobytes())
+        return ids if low == word else self._keep(word, ids)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        out = []
+        for letters, other in PIECES.findall(chunk):
+            if (ids := self.get(letters or other)) is None:
+                if letters or _LETTERS.fullmatch(other):
+                    ids = self._word(letters or other)
+                else:
+                    ids = self._keep(other, self._by_library(other))
+            out.append(ids)
+        return out[0] if len(out) == 1 else self._keep(chunk, b"".join(out))
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a whole text, four bytes each."""
+        if self._bytes > CACHE_BYTES:
+            self.clear()
+            self._bytes = 0
+        if any(x in text for x in self._added):
+            return self._by_library(text)
+        return b"".join(map(self.__getitem__, text.split()))  # of bytes: at ASCII blanks
 
 
 def _visible() -> dict[int, str]:
@@ -120,6 +111,7 @@ def _visible() -> dict[int, str]:
 
 
 _VISIBLE = _visible()
+_END = np.array([END], "<u4").tobytes()
 
 
 @functools.lru_cache(2)
@@ -140,21 +132,18 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, i
         keys = batch.column(0)
         texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
         for a, b in common.steps([len(x) for x in texts]):
-            ids, n = encoder.encode(texts[a:b])
             row, piece, start, length, crc, lists = [], [], [], [], [], []
-            at = 0
-            for i, count in enumerate(n.tolist()):
-                own = np.append(ids[at : at + count], np.uint32(END)).astype("<u4")
-                at += count
-                for k, s in enumerate(range(0, count + 1, capacity)):
-                    x = own[s : s + capacity]
-                    row.append(a + i)
+            for i in range(a, b):
+                own = memoryview(encoder.encode(texts[i]) + _END)
+                for k, s in enumerate(range(0, len(own), 4 * capacity)):
+                    x = own[s : s + 4 * capacity]
+                    row.append(i)
                     piece.append(k)
-                    start.append(s)
-                    length.append(len(x))
+                    start.append(s // 4)
+                    length.append(len(x) // 4)
                     crc.append(zlib.crc32(x))
                     if with_ids:
-                        lists.append(x.astype(np.int32))
+                        lists.append(np.frombuffer(x, "<i4"))
             columns = [keys.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
@@ -167,58 +156,79 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, i
 
 
 class Complements:
-    """Available lengths with the index of their single, pair and triple sums."""
+    """Available lengths with the index of their single, pair and triple sums.
+
+    The index is a bit a sum. It may hold sums whose pieces are used up meanwhile (counts only fall), never lacks one; a
+    sum found is therefore looked up among what is left, exhaustively.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.have = counts.astype(np.int64).copy()
         self.capacity = len(counts) - 1
-        self._pairs: np.ndarray | None = None
+        self._sums: tuple[int, int] | None = None
 
     def take(self, lengths: list[int], times: int) -> None:
         for x in lengths:
             self.have[x] -= times
-            if self.have[x] <= 1:  # it left the index, or can no longer pair with itself
-                self._pairs = None
+            if not self.have[x]:  # it left the index
+                self._sums = None
 
-    def pair_sums(self) -> np.ndarray:
-        """Whether two available pieces sum to i."""
-        if self._pairs is None:
+    def sums(self) -> tuple[int, int]:
+        """Bits of the sums of two and of three available pieces."""
+        if self._sums is None:
             there = np.flatnonzero(self.have > 0).tolist()
-            bits = sum(1 << x for x in there)
-            sums = 0
+            room = (1 << self.capacity + 1) - 1
+            singles = sum(1 << x for x in there)
+            pairs = triples = 0
             for x in there:
-                sums |= (bits if self.have[x] > 1 else bits & ~(1 << x)) << x
-            raw = (sums & (1 << self.capacity + 1) - 1).to_bytes(self.capacity // 8 + 1, "little")
-            self._pairs = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.capacity + 1].astype(bool)
-        return self._pairs
-
-    def pair(self, gap: int, used: dict[int, int]) -> tuple[int, int] | None:
-        """The most even pair that sums to ``gap``, beside ``used`` pieces; short pieces are kept for later gaps."""
-        half = gap // 2
-        left = self.have[: gap + 1].copy()
-        for x, n in used.items():
-            if x <= gap:
-                left[x] -= n
-        a = np.arange(half, 0, -1)
+                pairs |= singles << x & room
+            for x in there:
+                triples |= pairs << x & room
+            self._sums = pairs, triples
+        return self._sums
+
+    def pair(self, gap: int, left: np.ndarray) -> tuple[int, int] | None:
+        """The most even pair that sums to ``gap`` among the ``left`` counts; short pieces are kept for later gaps."""
+        a = np.arange(gap // 2, 0, -1)
         ok = (left[a] > 0) & (left[gap - a] > 0)
-        if gap % 2 == 0 and half and left[half] < 2:
+        if gap % 2 == 0 and gap and left[gap // 2] < 2:
             ok[0] = False
         hit = np.flatnonzero(ok)
         return (int(a[hit[0]]), int(gap - a[hit[0]])) if len(hit) else None
 
+    def triple(self, gap: int, left: np.ndarray) -> list[int] | None:
+        """The longest piece beside which a pair of the ``left`` counts fills ``gap``, with the most even such pair."""
+        bits = lambda n: int.from_bytes(np.packbits(left[: gap + 1] >= n, bitorder="little").tobytes(), "little")
+        one, two = bits(1) & ~1, bits(2) & ~1
+        mirrored = int.from_bytes(np.packbits((left[gap::-1] > 0), bitorder="little").tobytes(), "little")  # bit i: whether gap - i is there
+        for x in np.flatnonzero(left[: gap - 1] > 0)[::-1].tolist():
+            rest = gap - x  # of two pieces, a and rest - a
+            if x == 0:
+                break
+            found = one & mirrored >> x & (1 << rest) - 1
+            for own, fits in ((x, two >> x & 1 and (rest != 2 * x or left[x] > 2)), (rest - x, two >> x & 1 and (rest != 2 * x or left[x] > 2))):
+                if 0 < own < rest and not fits:  # x itself is in the pair, and not there often enough
+                    found &= ~(1 << own)
+            if rest % 2 == 0 and not two >> rest // 2 & 1:
+                found &= ~(1 << rest // 2)
+            if found:
+                more = left.copy()
+                more[x] -= 1
+                return [x, *self.pair(rest, more)]
+        return None
+
     def exact(self, gap: int, used: dict[int, int]) -> list[int] | None:
-        """One, two or three available pieces that fill ``gap`` exactly."""
-        if self.have[gap] - used.get(gap, 0) > 0:
+        """One, two or three available pieces, beside the ``used`` ones, that fill ``gap`` exactly; none only if there are none."""
+        left = self.have[: gap + 1].copy()
+        for x, n in used.items():
+            if x <= gap:
+                left[x] -= n
+        if left[gap] > 0:
             return [gap]
-        sums = self.pair_sums()
-        if gap > 1 and sums[gap] and (found := self.pair(gap, used)):
+        pairs, triples = self.sums()
+        if pairs >> gap & 1 and (found := self.pair(gap, left)):
             return list(found)
-        c = np.arange(gap - 2, 0, -1)
-        for x in c[(self.have[c] > 0) & sums[gap - c]][:64].tolist():
-            more = used | {x: used.get(x, 0) + 1}
-            if self.have[x] >= more[x] and (found := self.pair(gap - x, more)):
-                return [x, *found]
-        return None
+        return self.triple(gap, left) if triples >> gap & 1 else None
 
     def longest(self, gap: int, used: dict[int, int]) -> int:
         fits = np.flatnonzero(self.have[: gap + 1] > 0)

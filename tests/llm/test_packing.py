@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sieveline.llm import packing
@@ -21,9 +22,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -35,9 +34,24 @@ def encoder():
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("aAzZäÖßéİ09½'’.,-_<|>&́   \n\t日本👩‍"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_pieces_encode_as_whole_texts(encoder, tokenizer, text):
-    ids, n = encoder.encode([text.encode(), b"", text.upper().encode()])
-    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", text.upper())]
-    assert ids.tolist() == sum(wanted, []) and n.tolist() == list(map(len, wanted))
+    for t in (text, "", text.upper()):
+        assert np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_have_their_own_ids(spark, tokenizer, encoder):
+    assert np.frombuffer(encoder.encode(b"a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+    rows = [(1, "a <|endoftext|> b"), (2, "<|startoftext|>" * 3 + "x" * 200), (3, "<|ENDOFTEXT|> | endoftext|>")]
+    check(rows, packing.pack_documents(make(spark, rows), PATH, 16).collect(), 16, tokenizer)
+
+
+def test_the_cache_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    with open(PATH, "rb") as f:
+        small = packing.PieceEncoder(f.read())
+    for i in range(50):
+        text = f"word{i} other{i}, " + "spaceless" * 40 + f"{i} 日本語{i}"
+        assert np.frombuffer(small.encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(small) < 40 and max(map(len, small), default=0) <= packing.CACHED_PIECE
 
 
 def check(rows, got, capacity: int, tokenizer) -> int:  # noqa: ANN001
@@ -95,6 +109,46 @@ def test_plans_use_every_piece_once(counts):
         assert (used == have).all()
 
 
+def test_every_triple_is_found():
+    have = np.zeros(4097, np.int64)
+    have[1000], have[1032] = 1, 3
+    for i in range(81):  # these need the piece of 1000, which is used
+        have[1050 + i] = have[3096 - 1000 - 1050 - i] = 1
+    assert packing.Complements(have).exact(3096, {1000: 1}) is not None
+    only = np.zeros(4097, np.int64)
+    only[1032] = 3
+    assert packing.Complements(only).exact(3096, {}) == [1032, 1032, 1032]
+    assert packing.Complements(only).exact(3096, {1032: 1}) is None
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 14), st.integers(1, 3)), max_size=6), st.integers(1, 40), st.lists(st.integers(0, 5), max_size=3))
+def test_exact_is_exhaustive(counts, gap, taken):
+    have = np.zeros(41, np.int64)
+    for x, n in counts:
+        have[x] = n
+    used = {}
+    for i in taken:
+        if i < len(counts) and used.get(counts[i][0], 0) < have[counts[i][0]]:
+            used[counts[i][0]] = used.get(counts[i][0], 0) + 1
+    left = [x for x in range(41) for _ in range(int(have[x]) - used.get(x, 0))]
+    there = any(sum(c) == gap for n in (1, 2, 3) for c in itertools.combinations(left, n))
+    found = packing.Complements(have).exact(gap, used)
+    assert (found is not None) == there
+    if found:
+        rest = list(left)
+        for x in found:
+            rest.remove(x)
+        assert sum(found) == gap
+
+
+def test_other_columns_play_no_part(docs):
+    wider = docs.withColumns({c: F.lit(c) for c in ("piece", "start", "length", "sequence_id", "offset", "_salt", "_rank")})
+    got = sorted(map(tuple, packing.cut_pieces(wider, PATH).collect()), key=repr)
+    assert got == sorted(map(tuple, packing.cut_pieces(docs, PATH).collect()), key=repr)
+    assert packing.pack_documents(wider, PATH, 64).columns == packing.pack_documents(docs, PATH, 64).columns
+
+
 def test_combinations_fill_gaps_exactly():
     have = np.zeros(101, np.int64)
     for x, n in ((70, 4), (10, 8), (15, 2), (5, 2), (30, 1)):
