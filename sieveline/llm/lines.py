@@ -1,22 +1,26 @@
 """Operator 1: line deduplication with levelled sorted runs (DataFrame functions only).
 
-Documents arrive in batches of ascending ids. The index of lines seen so far is a set of runs: tables of
-(two 64-bit hashes of the line's key, first document) bucketed and sorted by the hashes, whose keys are
-disjoint. A batch reduces its lines to distinct keys, merge-joins each run (bucketed alike: runs are neither
-shuffled nor sorted again), and what no run holds becomes a new run of level 0. When a level has ``fanout``
-runs they are compacted into one run of the next level, so a batch meets O(fanout * log batches) runs.
+Each text is split and its lines are hashed once; the rows (document, version, position, two 64-bit hashes) are written.
+They are taken in batches of ascending ids. The index of lines seen so far is a set of runs: tables of (hashes, first
+document) with disjoint keys, bucketed and sorted by the hashes, one file a bucket. A batch reduces its lines to distinct
+keys, deals them into the same buckets and merge-joins each run, which is neither shuffled nor sorted again (a test looks
+at the plan); what no run holds becomes a new run of level 0. When a level has ``fanout`` runs they are compacted into
+one run of the next level, so a batch meets O(fanout * log batches) runs.
 
 A key held by a third of all lines is no trouble: keys are pre-aggregated before their shuffle, and the join
 that marks lines splits a hot key under adaptive skew handling, since its other side has one row a key.
 
 Defined results: null or empty text is one empty line; rows with equal ids count as one document when a key's
 documents are compared, and each row is returned; a null id sorts behind all others; keys are compared by 128
-bits of hash. Columns other than id and text are carried along untouched, whatever their names.
+bits of hash, texts of one id by 64. Ties cannot arise: lines of the smallest id stay, however often it has them. An
+empty table gives an empty one. Columns other than id and text are carried along untouched, whatever their names; where
+one is called ``n_lines`` or ``n_dropped``, the count of that name gets an underscore behind it.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +31,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = 2**63 - 1
 #: Input bytes for which a run gets one bucket, and the most buckets of a run.
 BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 50_000
+#: With it Spark trusts the order within buckets of one file each, and does not sort a run again.
+SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -36,15 +42,18 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def line_hashes(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, version, pos, h1, h2) of each line whose key is long enough."""
-    split = docs.select(
-        F.col("_doc").alias("doc"), F.col("_version").alias("version"), F.posexplode(F.split("_text", "\n")).alias("pos", "line")
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    split = docs.select(_place(id_col).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     keyed = split.select("doc", "version", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     return keyed.select("doc", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
+def _place(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+
+
 def bucket_count(docs: DataFrame) -> int:
     """Buckets in proportion to the input, so that their files are neither many and small nor large; all cores have one."""
     spark = docs.sparkSession
@@ -71,24 +80,35 @@ class LineRuns:
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    def add(self, keys: DataFrame) -> DataFrame:
-        """Take in a batch's (h1, h2, lo, hi), lowest and highest holder; returns (h1, h2, first) of keys in several documents."""
-        now = keys.withColumn("seen", F.lit(None).cast("long"))
+    def meet(self, keys: DataFrame) -> DataFrame:
+        """A batch's (h1, h2, lo, hi), lowest and highest holder, with ``seen``: the first holder in earlier batches."""
+        now = keys.repartition(self.buckets, "h1", "h2").withColumn("seen", F.lit(None).cast("long"))
         for name in self.runs():
             run = self.spark.table(name).where("fresh").select("h1", "h2", F.col("first").alias("_first")).hint("merge")
             now = now.join(run, ["h1", "h2"], "left").withColumn("seen", F.coalesce("seen", "_first")).drop("_first")
-        name = self._write(
-            now.select(
-                "h1", "h2", F.coalesce("seen", "lo").alias("first"), F.col("seen").isNull().alias("fresh"),
-                (F.col("seen").isNotNull() | (F.col("lo") < F.col("hi"))).alias("shared"),
+        return now
+
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Take in a batch's keys; returns (h1, h2, first) of those in several documents."""
+        with common.setting(self.spark, SORTED_BUCKETS, "true"):
+            name = self._write(
+                self.meet(keys).select(
+                    "h1", "h2", F.coalesce("seen", "lo").alias("first"), F.col("seen").isNull().alias("fresh"),
+                    (F.col("seen").isNotNull() | (F.col("lo") < F.col("hi"))).alias("shared"),
+                )
             )
-        )
         self.levels[0].append(name)
         path = self.paths[name]
         self._compact()
         # read by path, not as a bucketed table: both sides of the join with lines are then dealt anew and a hot key can be split
         return self.spark.read.schema("h1 long, h2 long, first long, fresh boolean, shared boolean").parquet(path).where("shared").select("h1", "h2", "first")
 
+    def drop(self) -> None:
+        """Remove all runs, their files and their names."""
+        for name, path in self.paths.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            common.delete(self.spark, path)
+
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
             if len(level) < self.fanout:
@@ -104,36 +124,45 @@ class LineRuns:
             level.clear()  # the files stay: marks of their batches are read from them
 
 
+def mark_lines(lines: DataFrame, cuts: list[int], buckets: int) -> DataFrame:
+    """(doc, version, gone): the positions of lines that a smaller id holds as well, as a written table.
+
+    ``lines`` (a written table of ``line_hashes``) is taken in batches: ids up to the first cut, up to the second, and so on.
+    """
+    index, marks = LineRuns(lines.sparkSession, buckets), None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = lines
+        if low is not None:
+            part = part.where(F.col("doc") > low)
+        if high is not None:
+            part = part.where(F.col("doc") <= high)
+        shared = index.add(part.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+        own = part.join(shared.hint("merge"), ["h1", "h2"]).where("first < doc").select("doc", "version", "pos")
+        marks = own if marks is None else marks.unionByName(own)
+    out = common.materialize(marks.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone")), "line-marks")
+    index.drop()
+    return out
+
+
+def _free(name: str, taken: Iterable[str]) -> str:
+    low = {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4) -> DataFrame:
     """``docs`` with ``text_col`` reduced to its kept lines, plus ``n_lines`` (before) and ``n_dropped``.
 
     A line goes if its key has at least ``min_chars`` code points and a smaller id holds it as well.
     """
-    spark = docs.sparkSession
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    cuts = sorted(set(cuts or []))
-    ranges = list(zip([None, *cuts], [*cuts, None], strict=True))
-    index, out = LineRuns(spark, bucket_count(docs)), None
-    for low, high in ranges:
-        # on the id column itself, so that the filter reaches the scan
-        inside = F.lit(True)
-        if low is not None:
-            inside = F.col(id_col) > low
-        if high is not None:
-            inside = inside & (F.col(id_col) <= high)
-        else:
-            inside = inside | F.col(id_col).isNull()
-        part = docs.where(inside).select(*_packed(id_col, text_col, others))
-        lines = _lines(part, min_chars)
-        keys = lines.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        shared = index.add(keys)
-        marks = (
-            lines.join(shared.hint("merge"), ["h1", "h2"]).where("first < doc")
-            .groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_set("pos").alias("_gone"))
-        )
-        done = part.join(marks, ["_doc", "_version"], "left")
-        out = done if out is None else out.unionByName(done)
+    lines = common.materialize(line_hashes(docs, min_chars, id_col, text_col), "line-hashes")
+    marks = mark_lines(lines, sorted(set(cuts or [])), bucket_count(docs))
+    common.drop_table(lines)
+    marks = marks.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
+    out = docs.select(*_packed(id_col, text_col, others)).join(marks, ["_doc", "_version"], "left")
     # the lines are bound to a lambda variable, so that the text is split once a row
     kept = F.element_at(
         F.transform(
@@ -149,14 +178,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     out = out.select("_row", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_dropped"), kept.alias("_kept"))
     fields = [F.col("_row").getField(id_col).alias(id_col), F.col("_kept.text").alias(text_col)]
-    fields += [F.col("_row").getField(c).alias(c) for c in others if c not in ("n_lines", "n_dropped")]
-    return out.select(*fields, F.col("_kept.n").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+    fields += [F.col("_row").getField(c).alias(c) for c in others]
+    return out.select(*fields, F.col("_kept.n").alias(_free("n_lines", docs.columns)), F.col("_dropped").alias(_free("n_dropped", docs.columns)))
 
 
 def _packed(id_col: str, text_col: str, others: list[str]) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return [
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_doc"), text.alias("_text"), F.xxhash64(text).alias("_version"),
+        _place(id_col).alias("_doc"), text.alias("_text"), F.xxhash64(text).alias("_version"),
         F.struct(F.col(id_col), *[F.col(f"`{c}`") for c in others]).alias("_row"),
     ]
 

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import lines, queries
+from sieveline.llm import common, lines, queries
 from tests import support
 
 from .conftest import awkward, make
@@ -52,7 +52,29 @@ def test_columns_with_clashing_names_come_along(spark):
     df = make(spark, rows).withColumns({c: F.lit(c) for c in ("doc", "pos", "h1", "_doc", "first", "n_lines", "_gone", "a b")})
     out = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
     assert out[2]["text"] == "rest" and out[1]["text"] == "the first line here"
-    assert out[2]["lang"] == "y" and out[2]["_gone"] == "_gone" and out[2]["a b"] == "a b" and out[2]["n_lines"] == 2
+    assert out[2]["lang"] == "y" and out[2]["_gone"] == "_gone" and out[2]["a b"] == "a b"
+    assert out[2]["n_lines"] == "n_lines" and (out[2]["n_lines_"], out[2]["n_dropped"]) == (2, 1)
+
+
+def test_ids_with_several_texts(spark):
+    rows = [(5, "a line of number five\nanother line"), (5, "another line\nlast line here"), (3, "LAST line here"), (None, "another line"), (None, "only once here")]
+    assert Counter(map(tuple, lines.line_report(make(spark, rows)).collect())) == brute(rows)
+
+
+def test_runs_are_neither_shuffled_nor_sorted(spark):
+    hashed = common.materialize(lines.line_hashes(make(spark, [(i, f"line number {i % 30} of thirty") for i in range(90)])), "line-hashes")
+    keys = lambda low, high: hashed.where(F.col("doc").between(low, high)).groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    index = lines.LineRuns(spark, 5, fanout=4)
+    for low in (0, 20, 40):
+        index.add(keys(low, low + 19))
+    with common.setting(spark, lines.SORTED_BUCKETS, "true"):
+        plan = index.meet(keys(60, 89))._jdf.queryExecution().executedPlan().toString()
+    joins = plan.count("SortMergeJoin")
+    assert joins == 3 and plan.count("Bucketed: true") == 3
+    assert plan.count("Exchange hashpartitioning(h1") == 2 and plan.count("Sort [h1") == 1  # of the batch alone: counted, dealt, sorted
+    before = len(spark.catalog.listTables())
+    index.drop()
+    assert before - len(spark.catalog.listTables()) == 3
 
 
 def test_empty_table(nothing):
@@ -60,8 +82,13 @@ def test_empty_table(nothing):
 
 
 def test_no_python_in_the_plan(docs):
-    plan = lines.line_report(docs)._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    index = lines.LineRuns(docs.sparkSession, 4)
+    keys = lines.line_hashes(docs).groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    index.add(keys)
+    for df in (lines.line_report(docs), lines.line_hashes(docs), index.meet(keys)):
+        plan = df._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    index.drop()
 
 
 def test_query_equals_sql(spark, sf_dir):
