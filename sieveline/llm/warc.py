@@ -2,14 +2,19 @@
 
 Payload bytes are stored once under their SHA-256, which is verified when they are read; the exact header bytes of
 each WARC record are kept in a table of their own with that address. Joining the two gives back the original
-records. ``write_files`` and ``read_files`` exchange them as WARC/1.1 files.
+records, and everything that is reported of a page is parsed from its rebuilt record: framing, both lengths and the
+digest are checked, a revisit takes its payload's size and digest from the record it refers to. ``write_files`` and
+``read_files`` exchange records as WARC/1.1 files of bounded size.
 
 Of records with equal payloads the one with the smallest page id is the response and the others revisit it. Digests
 are computed where the pages are read; only (id, digest) rows are shuffled to find that page, pre-aggregated, so a
-payload that a third of all pages have is no hot spot; bytes are shuffled once, to the table of distinct payloads.
+payload that a third of all pages have is no hot spot; bytes are shuffled to the table of distinct payloads, and once more
+to rebuild the responses. Revisits need no bytes, and a response that most revisits refer to is dealt out.
 
-Defined results: a null html is the empty payload; null urls are written as ``urn:sieveline:no-url``; repeated page
-ids with equal payloads are each responses; a null page id is a response only if no other record has its payload.
+Defined results: a null html is the empty payload; null urls are written as ``urn:sieveline:no-url``, line ends within urls as
+``%0D`` and ``%0A``; repeated page ids with equal payloads are each responses, with different ones records of their own; a
+null page id is a response only if no other record has its payload. An empty table gives an empty one; other columns play
+no part, whatever their names. Ties cannot arise beyond repeated ids.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 URN = "urn:sieveline:page:"
 HEADER_END = "\r\n\r\n"
 NO_ID = 2**63 - 1  # behind all page ids
+FILE_BYTES = 256 << 20  # of a WARC file, which is read as one cell
 
 
 def base32_sha1(data: Column) -> Column:
@@ -41,7 +47,7 @@ def base32_sha1(data: Column) -> Column:
 def _digests(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     return pages.select(
-        "page_id", F.coalesce(F.regexp_replace("url", "[\r\n]", "%0A"), F.lit("urn:sieveline:no-url")).alias("url"), payload.alias("payload")
+        "page_id", F.coalesce(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit("urn:sieveline:no-url")).alias("url"), payload.alias("payload")
     ).select("page_id", "url", "payload", F.sha2("payload", 256).alias("address"))
 
 
@@ -79,38 +85,63 @@ def _field(name: str) -> Column:
     return F.regexp_extract(F.col("head"), rf"\r\n{name}: <?(?:sha1:|{URN})?([^\r>]*)", 1)
 
 
-def read_index(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """What the stored bytes say of each record: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(page_id, record binary): the original WARC records; a revisit's block has no payload.
 
-    Each payload is hashed once; one that does not match its address or its record's digest fails the query.
+    A payload that is missing, or does not have the digest that is its address, fails the query.
     """
-    checked = payloads.select(
-        "address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
-        (F.sha2("payload", 256) == F.col("address")).alias("sound"),
-    )
-    parsed = headers.withColumn("head", F.substring_index(F.decode("header", "utf-8"), HEADER_END, 1)).select(
-        "address", F.nullif(_field("WARC-Record-ID"), F.lit("")).cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"),
-        F.nullif(_field("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"), _field("WARC-Payload-Digest").alias("stated"),
-    )
-    joined = parsed.join(checked, "address", "left")
-    digest = F.when(F.col("sound") & (F.col("stated") == F.col("payload_digest")), F.col("payload_digest")).otherwise(
-        F.raise_error(F.concat(F.lit("payload missing or changed: "), F.col("address")))
+    revisit = F.decode("header", "utf-8").startswith("WARC/1.1\r\nWARC-Type: revisit\r\n")
+    end = F.lit(HEADER_END).cast("binary")
+    sound = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(
+        F.raise_error(F.concat(F.lit("payload missing or changed: "), F.col("address"))).cast("binary")
     )
-    return joined.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    responses = headers.where(~revisit).join(payloads, "address", "left").select("page_id", F.concat("header", sound, end).alias("record"))
+    return responses.unionByName(headers.where(revisit).select("page_id", F.concat("header", end).alias("record")))
 
 
-def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(page_id, record binary): the original WARC records; a revisit's block has no payload."""
-    revisit = F.decode("header", "utf-8").startswith("WARC/1.1\r\nWARC-Type: revisit\r\n")
-    body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return headers.join(payloads, "address").select("page_id", F.concat("header", body, F.lit(HEADER_END).cast("binary")).alias("record"))
-
+def parse(records: DataFrame) -> DataFrame:
+    """What each record says: (page_id, record_type, refers_to, payload_digest, payload_bytes).
 
-def write_files(headers: DataFrame, payloads: DataFrame, path: str, records_per_file: int = 5000) -> None:
-    """WARC/1.1 files of whole records."""
+    A record whose framing, lengths or (for a response) digest do not hold fails the query. A revisit's digest and length are
+    those it states.
+    """
+    whole = records.select(F.decode("record", "utf-8").alias("text"))
+    cut = whole.withColumn("head", F.substring_index("text", HEADER_END, 1))
+    cut = cut.withColumn("block", F.substr("text", F.char_length("head") + 5, F.char_length("text") - F.char_length("head") - 8))
+    cut = cut.withColumn("http", F.substring_index("block", HEADER_END, 1)).withColumn("payload", F.substr("block", F.char_length("http") + 5))
+    length = lambda c: F.regexp_extract(c, r"\r\nContent-Length: (\d+)(?:\r|$)", 1).cast("long")
+    kind, digest = _field("WARC-Type"), base32_sha1(F.col("payload").cast("binary"))
+    read = cut.select(
+        F.nullif(_field("WARC-Record-ID"), F.lit("")).cast("long").alias("page_id"), kind.alias("record_type"),
+        F.nullif(_field("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"), _field("WARC-Payload-Digest").alias("stated"),
+        length("http").alias("payload_bytes"), F.when(kind == "response", digest).alias("digest"),
+        (F.col("text").endswith(HEADER_END) & (length("head") == F.octet_length("block"))).alias("framed"),
+        F.octet_length("payload").cast("long").alias("there"),
+    )
+    right = F.col("framed") & F.when(F.col("record_type") == "response", (F.col("there") == F.col("payload_bytes")) & (F.col("stated") == F.col("digest"))).otherwise(F.col("there") == 0)
+    checked = F.when(right, F.col("stated")).otherwise(F.raise_error(F.concat(F.lit("record does not hold: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")))))
+    return read.select("page_id", "record_type", "refers_to", checked.alias("payload_digest"), "payload_bytes")
+
+
+def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, read from the rebuilt records."""
+    read = common.materialize(parse(reconstruct(headers, payloads)), "warc-records")
+    responses = read.where("record_type = 'response'")
+    # what a revisit leaves out is in the record it refers to
+    origin = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("_bytes")).distinct()
+    revisits = common.join_hot(read.where("record_type = 'revisit'"), origin, ["refers_to", "payload_digest"], ["page_id"], "left")
+    there = F.when(F.col("_bytes") == F.col("payload_bytes"), F.col("_bytes")).otherwise(F.raise_error(F.lit("a revisit refers to no such record")).cast("long"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.select(columns).unionByName(revisits.withColumn("payload_bytes", there).select(columns))
+
+
+def write_files(headers: DataFrame, payloads: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """WARC/1.1 files of whole records, of about ``file_bytes`` each (one larger record is a file of its own size)."""
+    stated = F.regexp_extract(F.substring_index(F.decode("header", "utf-8"), HEADER_END, 1), r"\r\nContent-Length: (\d+)", 1).cast("long")
+    size = headers.agg(F.coalesce(F.sum(F.octet_length("header") + stated), F.lit(0))).first()[0]
     record = F.decode("record", "utf-8")
     whole = reconstruct(headers, payloads).select(F.left(record, F.char_length(record) - 4).alias("value"))
-    whole.write.option("lineSep", HEADER_END).option("maxRecordsPerFile", records_per_file).text(path)
+    whole.repartition(max(1, -(-size // file_bytes)), F.xxhash64("value")).write.option("lineSep", HEADER_END).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -143,10 +174,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "record_type", "refers_to", "header", "payload"])
 
     common.ship_package(spark)
-    common.small_batches(spark, 1)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(lambda it: (y for b in it for y in run(b)), "page_id long, record_type string, refers_to long, header binary, payload binary")
 
 
 def page_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    return read_index(*archive(pages.select("page_id", "url", "html"), min_bytes))
+    """Archive all ``pages``, rebuild every record and report what it holds."""
+    return read_archive(*archive(pages.select("page_id", "url", "html"), min_bytes))

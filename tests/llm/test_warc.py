@@ -50,7 +50,8 @@ def test_records_are_rebuilt_and_files_read_back(spark, tmp_path):
         assert payload == (body if fields["WARC-Type"] == "response" else b"")
         assert header + payload + b"\r\n\r\n" == records[page_id]
     path = str(tmp_path / "files")
-    warc.write_files(headers, payloads, path, records_per_file=3)
+    warc.write_files(headers, payloads, path, file_bytes=2_000_000)
+    assert len(list((tmp_path / "files").glob("*.txt"))) > 1
     got = {r["page_id"]: (bytes(r["header"]) + bytes(r["payload"]) + b"\r\n\r\n") for r in warc.read_files(spark, path).collect()}
     assert got == records
 
@@ -59,7 +60,28 @@ def test_changed_payloads_are_refused(spark):
     headers, payloads = warc.archive(spark.createDataFrame(PAGES[:4], SCHEMA))
     changed = payloads.withColumn("payload", F.concat("payload", F.lit(b"!")))
     with pytest.raises(Exception, match="payload missing or changed"):
-        warc.read_index(headers, changed).collect()
+        warc.read_archive(headers, changed).collect()
+    with pytest.raises(Exception, match="payload missing or changed"):
+        warc.read_archive(headers, payloads.limit(0)).collect()
+    record = warc.reconstruct(headers, payloads).where("page_id = 1")
+    text = F.decode("record", "utf-8")
+    for wrong in (F.replace(text, F.lit("Content-Length: 10"), F.lit("Content-Length: 11")), F.concat(text, F.lit(" ")), F.replace(text, F.lit("<p>one"), F.lit("<p>two"))):
+        with pytest.raises(Exception, match="record does not hold"):
+            warc.parse(record.select("page_id", wrong.cast("binary").alias("record"))).collect()
+    revisit = headers.where("page_id = 2")
+    with pytest.raises(Exception, match="refers to no such record"):
+        warc.read_archive(revisit, payloads).collect()
+
+
+def test_line_ends_in_urls_are_escaped(spark):
+    headers, payloads = warc.archive(spark.createDataFrame([(1, "http://b\r\nX: y", "z")], SCHEMA))
+    (fields, _, _), = warc.parse_records(bytes(warc.reconstruct(headers, payloads).first()["record"]))
+    assert fields["WARC-Target-URI"] == "http://b%0D%0AX: y" and "X" not in fields
+
+
+def test_ids_with_several_payloads(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (3, "u", "b"), (3, "u", "b")]
+    assert sorted(map(tuple, warc.page_report(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr) == brute(rows)
 
 
 def test_extra_columns_and_empty_table(spark):
