@@ -9,7 +9,8 @@ are several, each block's result is a written table before the next one begins.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do those
 with another number of components than most; equal scores go to the smaller id. Rows that repeat an id are candidates
-each, but never of a query with that id; as a query the id is asked once, with the smallest of its vectors.
+each, but never of a query with that id; as a query the id is asked once, with the smallest of its vectors. A table
+without a usable vector gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

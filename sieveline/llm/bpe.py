@@ -7,7 +7,8 @@ monoid they generate gives the state at every code point, and from state and sym
 begins there. Slices between boundaries are looked up in a cache of merged pieces; misses go through pair
 merging once. Token ids decode through a table of their bytes, offsets locate each token in the UTF-8 text.
 
-Defined results: null text is the empty text; an empty text has no tokens; texts of any length are whole.
+Defined results: null text is the empty text; an empty text has no tokens; texts of any length are whole. Rows that repeat
+are each returned; an empty table gives an empty one; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Bound of a worker's piece cache; beyond it the cache starts anew (results are the same).
-CACHE_PIECES = 400_000
+#: Bound of the bytes that a worker's piece cache holds, with a guess of what an entry takes besides; beyond it the cache starts
+#: anew, and longer pieces are not kept (results are the same).
+CACHE_BYTES, CACHED_PIECE, ENTRY_BYTES = 128 << 20, 64, 250
 
 # symbols
 LETTER, DIGIT, OTHER, APO1, APO2, SPACE_TO, BLANK_TO, BLANK_ON = range(8)
@@ -186,6 +188,7 @@ class ByteBpe:
     def _reset(self) -> None:
         self._index: dict[str, int] = {}
         self._pieces: list[list[int]] = []
+        self._bytes = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each text."""
@@ -194,12 +197,13 @@ class ByteBpe:
         start = boundaries(joined, lengths, self._classes)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        if len(self._pieces) > CACHE_PIECES:
+        if self._bytes > CACHE_BYTES:
             self._reset()
         index, pieces = self._index, self._pieces
         cuts = start.tolist()
         slices = [joined[a:b] for a, b in zip(cuts, cuts[1:] + [len(joined)], strict=True)]
         which = list(map(index.get, slices))
+        long: list[str] = []
         if None in which:
             for i, w in enumerate(which):
                 if w is None:
@@ -207,10 +211,17 @@ class ByteBpe:
                     if (w := index.get(piece)) is None:
                         w = index[piece] = len(pieces)
                         pieces.append(self._merge(piece))
+                        self._bytes += ENTRY_BYTES + len(piece) + 8 * len(pieces[w])
+                        if len(piece) > CACHED_PIECE:
+                            long.append(piece)
                     which[i] = w
         which = np.array(which, np.int64)
         used, inverse = np.unique(which, return_inverse=True)
         own = [pieces[i] for i in used]
+        for piece in long:  # used in this step alone
+            i = index.pop(piece)
+            self._bytes -= len(piece) + 8 * len(pieces[i])  # its place stays taken
+            pieces[i] = []
         size = np.fromiter(map(len, own), np.int64, len(own))
         at = np.concatenate(([0], np.cumsum(size)[:-1]))
         flat = np.fromiter((x for p in own for x in p), np.uint32, int(size.sum()))

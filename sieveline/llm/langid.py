@@ -6,12 +6,14 @@ Forward-backward over windows of ``WINDOW`` words labels every word of every tex
 document's language is the one with the largest mean marginal over its words that hold letters, and that mean is
 the score.
 
-The model is fitted to at most ``per_label`` training documents of each label (those with the smallest hashed ids) and
-``PER_DOC`` windows of each. Training sequences join spans of different languages, so that transitions are learned
-from switches, not only from monolingual text.
+The model is fitted to at most ``per_label`` training documents of each label (those with the smallest hash of id and
+text), ``SAMPLE`` in all, and ``PER_DOC`` windows of each. Training sequences join spans of different languages, so that
+transitions are learned from switches, not only from monolingual text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every text is;
-equal texts get equal predictions; label, source and id are never features.
+equal texts get equal predictions, rows that repeat are each returned; of labels with equal marginals the first in order of
+their names is taken; label, source and id are never features. An empty table gives an empty one; other columns play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from .words import _MASK, hash_slices, mix, words
 BUCKETS = 1 << 16
 WINDOW = 64
 PER_LABEL, PER_DOC = 800, 4
+SAMPLE = 32_768  # texts in all, whatever the number of labels
 UNDETERMINED = "und"
 
 _HAS_LETTER = np.zeros(256, bool)  # bytes of words that count: ASCII letters and anything beyond ASCII
@@ -117,38 +120,36 @@ def marginals(emission: np.ndarray, mask: np.ndarray, transitions: np.ndarray, p
     return gamma.transpose(1, 0, 2), expected
 
 
-def _sample_windows(docs: DataFrame, per_label: int) -> tuple[list[str], list[list[bytes]]]:
-    """Labels and word windows of the bounded training sample."""
+def _sample_windows(docs: DataFrame, per_label: int, total: int = SAMPLE) -> tuple[list[str], list[list[bytes]]]:
+    """Labels and word windows of the bounded training sample: at most ``per_label`` texts of a label, ``total`` in all."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # 53 bits of hash of id and text: rows that repeat both count once
+    rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(8)), 11).alias("key"))
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).limit(total + 1).collect()}
+    if len(many) > total:
+        raise ValueError(f"more than {total} labels: the sample cannot hold a text of each")
     if not many:
         return [], []
     # hashes are uniform: twice the share that is wanted holds the smallest ones of each label, whatever the number of rows
-    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(8)), 11)
-    bound = F.create_map(*[x for lang, n in many.items() for x in (F.lit(lang), F.lit(int(min(1.0, 2 * per_label / n) * (1 << 53))))])
-    drawn = (
-        rows.select("doc_id", "lang", key.alias("key")).where(F.col("key") <= bound[F.col("lang")])
-        .withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("r") <= per_label)
-        .select("doc_id", "lang").collect()  # per_label ids of each label
-    )
-    if not drawn:
-        return [], []
+    each = min(per_label, total // len(many))
+    bounds = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 2 * each / n) * (1 << 53))) for lang, n in many.items()], "lang string, bound long")
+    few = rows.join(F.broadcast(bounds), "lang").where("key <= bound").dropDuplicates(["lang", "key"])  # bounds: at most ``total`` rows
+    drawn = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("key"))).where(F.col("r") <= each)
 
     def run(batch: pa.RecordBatch):
-        keys, langs, out = [], [], []
-        for key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        langs, keys, out = [], [], []
+        for lang, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             w = text.encode().split()
             n = max(1, len(w) // WINDOW)
             for i in sorted({n * j // PER_DOC for j in range(PER_DOC)}):
                 if own := w[i * WINDOW : (i + 1) * WINDOW]:
-                    keys.append(key)
                     langs.append(lang)
-                    out.append([x[:64] for x in own])
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "lang", "w"])
+                    keys.append(key)
+                    out.append(own)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["lang", "key", "w"])
 
-    chosen = docs.where(F.col("doc_id").isin([r["doc_id"] for r in drawn])).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    got = common.map_batches(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), run, "doc_id long, lang string, w array<binary>").collect()
-    got = sorted(((r["lang"], r["doc_id"], [bytes(x) for x in r["w"]]) for r in got))
+    got = common.map_batches(drawn.select("lang", "key", "text"), run, "lang string, key long, w array<binary>").collect()  # PER_DOC windows of each
+    got = sorted((r["lang"], r["key"], [bytes(x) for x in r["w"]]) for r in got)
     return [g[0] for g in got], [g[2] for g in got]
 
 

@@ -6,7 +6,8 @@ clusters, the four lacings, block groups and cues become packet tables with trac
 
 Defined results: null media gives no tracks and no packets; null or empty payloads are padded to one unit of
 64 zero bytes; bytes that are no Matroska file raise ``ValueError`` in ``parse`` and give an ``error`` column in
-``packet_table``.
+``packet_table``. Rows that repeat are each stored, equal texts alike; an empty table gives an empty one; other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations

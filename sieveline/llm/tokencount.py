@@ -10,7 +10,8 @@ order), the best path decomposes at spaces, and each distinct blank-led chunk is
 texts are solved as one. Both give the same counts.
 
 Defined results: null and empty texts have no tokens and score 0; ``\\n`` and other characters beyond the vocabulary count
-as bytes; special pieces never match text.
+as bytes; special pieces never match text. Rows that repeat are each counted; an empty table gives an empty one; other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 MARK = "▁"
-#: Bound of a worker's cache of chunks.
-CACHE_CHUNKS = 500_000
+#: Bound of the bytes that a worker's cache of chunks holds, with a guess of what an entry takes besides; longer chunks are not kept.
+CACHE_BYTES, CACHED_CHUNK, ENTRY_BYTES = 128 << 20, 64, 250
 UNKNOWN_PENALTY = 10.0
 
 
@@ -55,6 +56,7 @@ class UnigramCounter:
             newline = not any("\n" in p for p in pieces)
             self._chunks = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if newline else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self._cache: dict[str, tuple[int, float]] = {}
+        self._bytes = 0
 
     def solve(self, text: str) -> tuple[int, float]:
         """(pieces, score) of one normalised string."""
@@ -93,8 +95,9 @@ class UnigramCounter:
         text = MARK + text.replace(" ", MARK)
         if self._chunks is None:
             return self.solve(text)
-        if len(self._cache) > CACHE_CHUNKS:
+        if self._bytes > CACHE_BYTES:
             self._cache.clear()
+            self._bytes = 0
         cache = self._cache
         chunks = self._chunks.findall(text)
         found = list(map(cache.get, chunks))
@@ -103,7 +106,10 @@ class UnigramCounter:
                 if x is None:
                     c = chunks[i]
                     if (x := cache.get(c)) is None:
-                        x = cache[c] = self.solve(c)
+                        x = self.solve(c)
+                        if len(c) <= CACHED_CHUNK:
+                            cache[c] = x
+                            self._bytes += ENTRY_BYTES + len(c)
                     found[i] = x
         pieces, scores = zip(*found, strict=True)
         return sum(pieces), sum(scores)

@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sieveline.llm import bpe
 
@@ -73,6 +74,23 @@ def test_offsets_and_decoding(docs, library):
     assert back[81] == text and back[8] == b"" and back[7] == b""
 
 
+def test_the_cache_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    with open(PATH, "rb") as f:
+        small = bpe.ByteBpe(f.read(), bpe.code_point_classes())
+    for i in range(60):
+        texts = [f"word{i} and more{i}", "long" * 40 + str(i), "long" * 40 + str(i)]
+        ids, _ = small.encode(texts)
+        assert ids.tolist() == sum(map(library.encode_ordinary, texts), [])
+        assert len(small._index) < 60 and max(map(len, small._index)) <= bpe.CACHED_PIECE
+
+
+def test_other_columns_play_no_part(docs):
+    wider = docs.withColumns({c: F.lit(c) for c in ("ids", "ends", "n_tokens", "bytes")})
+    assert sorted(map(tuple, bpe.digest_round_trip(wider, PATH).collect()), key=repr) == sorted(map(tuple, bpe.digest_round_trip(docs, PATH).collect()), key=repr)
+    assert bpe.encode_table(wider, PATH).columns == ["doc_id", "ids", "ends"]
+
+
 def test_empty_table(nothing):
     assert bpe.digest_round_trip(nothing, PATH).collect() == []
     assert bpe.encode_table(nothing, PATH).collect() == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.llm import langid
+from sieveline.llm.words import hash_slices, mix
 
 from .conftest import make
 
@@ -83,6 +85,60 @@ def test_defined_results(spark, model):
     assert got[5] == got[6] == got[None] and got[5][0] in model.labels and got[8][0] in model.labels
 
 
+def _plain(model, text: str) -> tuple[str, float]:  # noqa: ANN001
+    """Prediction of a short text by definition: features one by one, marginals by enumeration of all label paths."""
+    table = {65 + i: 97 + i for i in range(26)}
+    found = [w.translate(table).encode() for w in re.findall("[^\x20\x09-\x0d]+", text)]
+    number = lambda b: int.from_bytes(b, "little")
+    bucket = lambda x: int(mix(np.array([x % (1 << 64)], np.uint64))[0]) % langid.BUCKETS
+    emission, k = [], len(model.labels)
+    for w in found:
+        h = hash_slices(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        at = np.flatnonzero(model.lexicon == h)
+        x = [bucket(3 * (1 << 40) + (int(model.lexicon_label[at[0]]) + 1 if len(at) else 0))]
+        for n in (1, 2, 3):
+            x += [bucket(number(w[:n]) * 8 + n), bucket(number(w[-n:]) * 8 + n + (1 << 40))]
+        x += [bucket(number(w[i : i + 3]) + 2 * (1 << 40)) for i in range(len(w) - 2)]
+        emission.append(sum(model.weights[b].astype(float) for b in x))
+    total, single = 0.0, np.zeros((len(found), k))
+    for path in itertools.product(range(k), repeat=len(found)):
+        score = sum(emission[i][y] for i, y in enumerate(path)) + sum(float(model.transitions[a, b]) for a, b in zip(path, path[1:], strict=False))
+        total += np.exp(score)
+        for i, y in enumerate(path):
+            single[i, y] += np.exp(score)
+    counts = [i for i, w in enumerate(found) if any(c > 127 or chr(c).isalpha() for c in w)]
+    if not any(map(str.isalpha, text)):
+        return "und", 0.0
+    mean = (single / total)[counts].mean(axis=0)
+    return model.labels[int(mean.argmax())], float(mean.max())
+
+
+def test_predictions_equal_the_definition(big, model):
+    texts = ["THE cat", "der Hund 12 läuft", "la casa", "un peu de", "x", "12 ...", "Straße über-ab", "donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichen" * 3 + " Ende"]
+    for r in big.where("n_chars > 100").limit(25).collect():
+        w = r["text"].split()
+        texts += [" ".join(w[:4]), " ".join(w[5:7])]
+    langs, scores = langid.predict_texts(model, texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        wanted, certain = _plain(model, text)
+        assert abs(score - certain) < 2e-3, text
+        assert lang == wanted or certain < 0.51
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i % 7, f"word{i % 40} other text", "l" + str(i % 3)) for i in range(4000)]
+    labels, windows = langid._sample_windows(make(spark, rows).select("doc_id", "text", "lang"), 5)
+    assert {x: labels.count(x) for x in set(labels)} == {"l0": 5, "l1": 5, "l2": 5} and len(windows) == 15
+    labels, _ = langid._sample_windows(make(spark, rows).select("doc_id", "text", "lang"), 5, total=6)
+    assert sorted(labels) == ["l0", "l0", "l1", "l1", "l2", "l2"]
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        langid._sample_windows(make(spark, rows).select("doc_id", "text", "lang"), 5, total=2)
+
+
+def test_empty_table_with_a_model(nothing, model):
+    assert langid.predict(nothing, model).collect() == []
+
+
 def test_without_training_rows(spark, nothing):
     assert langid.identify(nothing).collect() == []
     rows = langid.identify(make(spark, [(1, "some text"), (2, None)])).collect()

@@ -8,10 +8,11 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sieveline.llm import matroska as mk
 
-from .conftest import awkward
+from .conftest import awkward, make
 
 
 @settings(max_examples=100, deadline=None)
@@ -83,6 +84,25 @@ def test_awkward_documents(docs):
         assert by_text.setdefault((g[1], g[3]), g[5:]) == g[5:]
 
 
+def test_features_by_definition(spark):
+    texts = ["", "a", "\x00\xffA" * 100, "ä" * 5000, "some text " * 3000]
+    df = make(spark, list(enumerate(texts))).withColumns({c: F.lit(c) for c in ("media", "n_bytes", "feature", "payload_bytes")})
+    got = {r["doc_id"]: r for r in mk.read_back(mk.mux_table(df)).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        samples = [b - 128 for b in raw + bytes(-len(raw) % 64 or (0 if raw else 64))]
+        said = dict(x.split("=") for x in got[i]["feature"].split(";"))
+        frames = -(-len(samples) // mk.FRAME)
+        clusters = -(-frames // (mk.LACED * mk.BLOCKS))
+        wanted = {
+            "tracks": 1, "packets": frames, "cues": clusters, "longest": min(mk.FRAME, len(samples)), "ms": len(samples) // 8, "sum": sum(samples),
+            "squares": sum(x * x for x in samples), "crossings": sum(x * y < 0 for x, y in zip(samples, samples[1:], strict=False)), "peak": max(map(abs, samples)),
+        }
+        assert {k: int(v) for k, v in said.items()} == wanted
+        file = bytes(mk.mux_table(df.where(F.col("doc_id") == i)).first()["media"])
+        assert got[i]["media_bytes"] == len(file) and got[i]["media_sha256"] == hashlib.sha256(file).hexdigest()
+
+
 def test_packet_tables(spark, docs):
     files = mk.mux_table(docs.where("doc_id = 80"))
     row = files.first()

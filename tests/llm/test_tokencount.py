@@ -7,6 +7,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sieveline.llm import tokencount
 
@@ -120,3 +121,17 @@ def test_awkward_documents(docs, counter):
 
 def test_empty_table(nothing):
     assert tokencount.count_tokens(nothing, PATH).collect() == []
+
+
+def test_other_columns_play_no_part_and_the_cache_is_bounded(docs, monkeypatch):
+    monkeypatch.setattr(tokencount, "CACHE_BYTES", 4000)
+    wider = docs.withColumns({c: F.lit(c) for c in ("n_tokens", "score")})
+    assert sorted(map(tuple, tokencount.count_tokens(wider, PATH).collect()), key=repr) == sorted(map(tuple, tokencount.count_tokens(docs, PATH).collect()), key=repr)
+    with open(PATH, "rb") as f:
+        data = f.read()
+    small, large = tokencount.UnigramCounter(data), tokencount.UnigramCounter(data)
+    monkeypatch.setattr(tokencount, "CACHE_BYTES", 1 << 30)
+    wanted = [large.count(f"word{i} " + "x" * 200 + f" other{i}") for i in range(60)]
+    monkeypatch.setattr(tokencount, "CACHE_BYTES", 4000)
+    assert [small.count(f"word{i} " + "x" * 200 + f" other{i}") for i in range(60)] == wanted
+    assert len(small._cache) < 40 and max(map(len, small._cache)) <= tokencount.CACHED_CHUNK
