@@ -2,7 +2,12 @@
 
 Every stage works on all rows its predecessor kept; all but the last return the columns of ``documents``, with
 ``n_chars`` following the text. ``run`` writes each stage as Parquet in the shared folder, so a lost executor never
-costs more than the stage at hand.
+costs more than the stage at hand; the tables of stages that are done are deleted.
+
+Defined results: documents without text or letters go in the first stage, so later ones see neither; rows that share an
+id, or have none, are judged each by its own text (of texts linked to one with a smaller id each goes, a null id never
+does); of ties the smallest id stays. An empty table gives an empty one; further columns come along to the last stage,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles the one with the smallest id stays."""
-    marked = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(marked, docs["doc_id"] == marked["_id"], "left_anti")
+    return neardup.drop_copies(docs)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), name)
+        common.drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
