@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sieveline.llm import common, langid, lines, spans
 
-from . import test_lines, test_neardup, test_spans
+from . import test_lines, test_neardup, test_packing, test_spans
 from .conftest import SCHEMA, awkward, make
 
 
@@ -71,6 +75,40 @@ def test_whole(spark, tmp_path, labelled):
     assert len(kept & set(texts)) > len(texts) // 2
 
 
+def test_ids_with_several_texts(spark):
+    """Rows that share an id, or have none: each stage judges them by their own text; clashing columns come along."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(" ".join(rng.choice(words) for _ in range(9)) + "." for _ in range(n))
+    a, passage, unique = prose(14), prose(13), prose(13)
+    rows = [(1, passage), (30, passage), (30, unique), (None, passage + " " + prose(40)), (None, prose(30)), (20, a), (40, a + " end"), (40, prose(12)), (7, prose(3) + "\n" + passage)]
+    names = ("n_dropped", "n_lines", "version", "kept", "marks", "_gone", "component_id")
+    docs = make(spark, rows).withColumns({c: F.lit("v") for c in names})
+    for name, stage in pipeline.STAGES[1:-1]:
+        docs = common.materialize(stage(spark, docs, ""), name)
+        got = docs.collect()
+        assert {r[c] for r in got for c in names} == {"v"}, name
+        texts = [r["text"] for r in got]
+        assert unique in texts and rows[4][1] in texts and rows[7][1] in texts, name
+    assert texts.count(passage) == 1 and a + " end" not in texts and a in texts and rows[8][1].split("\n")[0] in [t.strip() for t in texts]
+
+
+def test_whole_equals_the_stages_one_by_one(spark, tmp_path):
+    """``run`` against the plain versions of stages 2 to 4 and the library's tokens, for texts whose language is plain."""
+    rows = [(r[0], r[1], "en") for r in test_spans.corpus(6)] + [(r[0] + 5000, r[1], "en") for r in test_neardup.corpus(13, 12, 5)] + [(9001, None, None), (9002, "123", None)]
+    make(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    lettered = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    holders: dict = {}
+    for i, text, _ in lettered:
+        for x in text.split("\n"):
+            holders.setdefault(test_lines.key(x), set()).add(i)
+    kept = [(i, "\n".join(x for x in t.split("\n") if len(test_lines.key(x)) < 10 or min(holders[test_lines.key(x)]) >= i)) for i, t, _ in lettered]
+    stay = {r[0] for r in test_neardup.brute(kept, 5) if r[3]}
+    left = [(r[0], r[3]) for r in test_spans.brute([r for r in kept if r[0] in stay])]
+    tokenizer = Tokenizer.from_file(test_packing.PATH)
+    test_packing.check(left, pipeline.run(spark, str(tmp_path)).collect(), 4096, tokenizer)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).collect() == []
