@@ -324,9 +324,10 @@ def _components(docs: DataFrame, width: int, percent: int, k: int, id_col: str,
         )
     final = common.connected_components(common.materialize(links, "near-links"))
     in_component = classes.select("class", "n", "s1", "s2", "doc_id").join(final.withColumnRenamed("id", "class"), "class", "left")
-    in_component = in_component.withColumn("component", F.coalesce("component", "class"))
+    in_component = common.materialize(in_component.withColumn("component", F.coalesce("component", "class")), "near-component")
     smallest = in_component.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return table, common.materialize(in_component.join(smallest, "component").select("n", "s1", "s2", "component_id"), "near-named")
+    named = common.join_hot(in_component, smallest, ["component"], ["class"]).select("n", "s1", "s2", "component_id")
+    return table, common.materialize(named, "near-named")
 
 
 def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
