@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .reference_data import GENERIC, LEADING, TRAILING
+from .reference_data import GENERIC, JURISDICTION, LEADING, TRAILING
 
 
 def py_fold(s: str) -> str:
@@ -83,6 +83,12 @@ def find_legal_suffix(norm: Column) -> Column:
     return F.nullif(F.regexp_extract(norm, f"(?:^| )({_TRAIL})$", 1), F.lit(""))
 
 
+def jurisdiction(norm: Column) -> Column:
+    """The country that the name's trailing legal form suggests, else null."""
+    table = F.create_map(*[F.lit(x) for kv in JURISDICTION.items() for x in kv])
+    return F.try_element_at(table, find_legal_suffix(norm))
+
+
 def strip_legal_suffix(norm: Column) -> Column:
     """Without one trailing legal form; may leave nothing."""
     return F.regexp_replace(norm, f"(?:^| )(?:{_TRAIL})$", "")
