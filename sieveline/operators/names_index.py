@@ -25,13 +25,14 @@ def build(entries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def derive(names: DataFrame) -> DataFrame:
-    """Adds name_norm, stem (null for individuals), phonetic_keys, acronyms; names that normalise to nothing go."""
+    """Adds name_norm, stem (null for individuals), grams, phonetic_keys, acronyms; names that normalise to nothing go."""
     ship_package(names.sparkSession)
     person = F.col("entry_type") == "individual"
     out = names.withColumn("name_norm", text.normalize(F.col("display"))).where("name_norm <> ''")
     none = F.array().cast("array<string>")
     return out.withColumns({
         "stem": F.when(person, None).otherwise(text.strip_legal_forms(F.col("name_norm"))),
+        "grams": keys.trigrams(F.col("name_norm")),
         "phonetic_keys": keys.phonetic_keys("name_norm"),
         "acronyms": F.when(person, none).otherwise(keys.acronyms(F.col("name_norm"))),
     })

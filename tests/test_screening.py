@@ -6,12 +6,13 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveline.functions import keys, reference_data
 from sieveline.functions.similarity import token_similarities
 from sieveline.functions.text import py_normalize
-from sieveline.operators import names_index, screening
+from sieveline.operators import blocks, names_index, screening
 
 RAW = "name_id long, uid long, entry_type string, name_kind string, is_weak boolean, display string"
 ASKED = "query_id string, query_name string, subject_type string"
@@ -194,6 +195,39 @@ def test_unknown_types_and_empty_sides(spark, names):
     assert screening.nested(some, screening.screen(some, names.limit(0))).first()["candidates"] == []
 
 
+def test_blocks_change_nothing(spark, names, monkeypatch):
+    """Small blocks, small steps and a limit give the same best rows as one block."""
+    q = screening.prepare(spark.createDataFrame([(f"Q{i}", n, t) for i, (n, t) in enumerate(CUSTOMERS)], ASKED))
+    best = lambda df: {(r["query_id"], r["gen"], r["name_id"], round(r["sim"], 9)) for r in df.withColumn("r", F.row_number().over(W.partitionBy("query_id", "gen").orderBy(F.desc("sim"), "name_id"))).where("r <= 7").collect()}
+    whole = best(blocks.resembling(q, names))
+    monkeypatch.setattr(blocks, "CUSTOMERS", 5)
+    monkeypatch.setattr(blocks, "NAMES", 30)
+    monkeypatch.setattr(blocks, "CELLS", 64)
+    assert blocks.block_counts(q.count(), names.count(), 4)[1] > 3
+    assert best(blocks.resembling(q, names, limit=7)) == whole and {g for _, g, _, _ in whole} == {"trigram", "phonetic"}
+
+
+def test_the_plan_joins_no_sides_in_full(spark, names):
+    """No cross join, and the trigrams of listed names come from the index."""
+    q = screening.prepare(spark.createDataFrame([("Q", "X Y", "entity")], ASKED))
+    stored = spark.createDataFrame(names.limit(50).collect(), names.schema)
+    plan = blocks.resembling(q, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    listed = plan[plan.rindex("hashpartitioning") :]
+    assert "sequence" not in listed.replace("explode(sequence", "") and "substr" not in listed
+
+
+def test_nicknames_find_their_names(spark):
+    rows = [(1, 1, "individual", "primary", False, "Robert Karsson"), (2, 2, "individual", "primary", False, "Bert Karlsen"), (3, 3, "entity", "primary", False, "Bob Karsson")]
+    names = names_index.derive(spark.createDataFrame(rows, RAW))
+    asked = spark.createDataFrame([("Q", "Bob Karsson", "individual"), ("E", "Bob Karsson", "entity")], ASKED)
+    nick = spark.createDataFrame([("bob", "Robert")], "nickname string, name string")
+    got = {(r["query_id"], r["uid"]): r["score"] for r in screening.screen(asked, names, nicknames=nick).collect()}
+    assert math.isclose(got["Q", 1], 0.975) and math.isclose(got["E", 3], 1.0) and ("E", 1) not in got
+    plain = {(r["query_id"], r["uid"]): r["score"] for r in screening.screen(asked, names).collect()}
+    assert plain.get(("Q", 1), 0) < 0.9 and plain["E", 3] == got["E", 3]
+
+
 def test_tie_groups_stay_whole(spark):
     rows = [(u, u, "entity", "primary", False, f"Sina Composite {w}") for u, w in enumerate(["Delijan", "Dorud", "Damavand", "Dena", "Daran"], 1)]
     rows += [(10, 10, "entity", "primary", False, "SCD"), (11, 11, "entity", "primary", False, "SCDX Trading")]
