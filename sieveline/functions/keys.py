@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -47,7 +49,7 @@ _SAME = "fjlmnr"
 
 @functools.lru_cache(200_000)
 def metaphone(word: str) -> str:
-    """Philips' metaphone of one ASCII word."""
+    """Metaphone of one ASCII word, after the rules that Lawrence Philips published (Computer Language 7 (12), 1990)."""
     w = word.lower()
     if w[:2] in ("ae", "gn", "kn", "pn", "wr"):
         w = w[1:]
@@ -137,10 +139,20 @@ def metaphone(word: str) -> str:
     return "".join(out).upper()
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def phonetic_keys(norm: pd.Series) -> pd.Series:
-    """Sorted metaphones of the alphabetic words of three letters or more; each word is worked out once a worker."""
-    return norm.map(lambda s: sorted({metaphone(t) for t in s.split() if len(t) >= 3 and t.isalpha()} - {""}) if s is not None else [])
+@F.arrow_udf(ArrayType(StringType()))
+def phonetic_keys(norm: pa.Array) -> pa.Array:
+    """Sorted metaphones of the alphabetic words of three letters or more; each distinct word of a batch is worked out once."""
+    lists = pc.split_pattern(pc.fill_null(norm, ""), " ")
+    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    sounds = [metaphone(t) if len(t) >= 3 and t.isalpha() else "" for t in coded.dictionary.to_pylist()]
+    order, number = np.unique(np.array(sounds, dtype=object).astype(str), return_inverse=True) if sounds else (np.zeros(0, str), np.zeros(0, int))
+    number = number[coded.indices.to_numpy(zero_copy_only=False)]
+    heard = order[number] != "" if len(order) else np.zeros(0, bool)
+    pairs = np.unique(rows[heard].astype(np.int64) * max(1, len(order)) + number[heard])  # by row, then by sound
+    row, sound = pairs // max(1, len(order)), pairs % max(1, len(order))
+    offsets = np.searchsorted(row, np.arange(len(norm) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order[sound].tolist(), pa.string()))
 
 
 def initials(norm: Column) -> Column:

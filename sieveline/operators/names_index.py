@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, similarity, text
@@ -38,6 +38,21 @@ def derive(names: DataFrame) -> DataFrame:
     })
 
 
+def write(names: DataFrame, path: str) -> None:
+    """Store an index, in place of one that is there."""
+    names.write.mode("overwrite").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def add(names: DataFrame, path: str) -> None:
+    """Append the rows of ``names`` whose ids a stored index does not hold yet: later publications cost their own size."""
+    known = read(names.sparkSession, path).select("name_id")
+    names.join(known, "name_id", "left_anti").select(read(names.sparkSession, path).columns).write.mode("append").parquet(path)
+
+
 def stem_idf(names: DataFrame) -> DataFrame:
     """(token, df, idf) over the stems of primary entity names."""
     return similarity.idf_table(names.where("entry_type = 'entity' and name_kind = 'primary'"))
