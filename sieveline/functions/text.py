@@ -134,9 +134,10 @@ def listed_date(raw: Column) -> Column:
 
 
 def title_case(col: Column) -> Column:
-    """Every run of letters with a capital (``Al-Zawahiri``), unlike ``initcap``."""
-    runs = F.regexp_extract_all(F.lower(col), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(F.transform(runs, lambda t: F.concat(F.upper(F.left(t, F.lit(1))), F.substr(t, F.lit(2)))), "")
+    """Every run of cased letters with a capital (``Al-Zawahiri``), unlike ``initcap``; a leading ``ß`` becomes ``Ss``."""
+    runs = F.regexp_extract_all(F.lower(col), F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), 1)
+    first = lambda t: F.upper(F.left(t, F.lit(1)))
+    return F.array_join(F.transform(runs, lambda t: F.concat(F.left(first(t), F.lit(1)), F.lower(F.substr(first(t), F.lit(2))), F.substr(t, F.lit(2)))), "")
 
 
 def years(col: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ..functions.reference_data import LEADING, TRAILING
+from ..functions.reference_data import GENERIC, JURISDICTION, LEADING, TRAILING
 
 _T, _L = "|".join(TRAILING), "|".join(LEADING)
 _FORMS = ", ".join(f"'{f}'" for f in TRAILING)
 _FORM_LIST = f"[{_FORMS}]"
+_JURISDICTION = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in JURISDICTION.items()) + "}"
+_GENERIC = ", ".join(f"'{g}'" for g in sorted(GENERIC))
 
 
 def norm(x: str) -> str:
@@ -39,6 +41,11 @@ def initials(x: str) -> str:
     return f"array_to_string(list_transform(string_split({x}, ' '), lambda t: left(t, 1)), '')"
 
 
+def title(x: str) -> str:
+    cased = "\\p{Lu}\\p{Ll}\\p{Lt}"
+    return f"array_to_string(list_transform(regexp_extract_all(lower({x}), '[{cased}]+|[^{cased}]+'), lambda w: CASE left(w, 1) WHEN 'ß' THEN 'Ss' ELSE upper(left(w, 1)) END || substr(w, 2)), '')"
+
+
 def share(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} = 0 THEN 0.0 ELSE round({part}::DOUBLE / {whole}, 4) END"
 
@@ -84,15 +91,70 @@ def _direction(own: str, other: str) -> str:
     ON d.token = p.x OR (d.token IS NULL AND p.x NOT IN (SELECT token FROM df)) GROUP BY p.query_id, p.uid, p.person"""
 
 
-NAME_SCORES = STEMS + f""", qs AS (SELECT query_id, subject_type, norm, stem FROM {stripped('q', 'norm', 'stem')}),
-pr AS (SELECT near.query_id, near.uid, qs.subject_type = 'individual' AS person,
+def scores(pairs: str) -> str:
+    """CTEs up to f and b, the two directions of the score of each (query_id, uid) of ``pairs``."""
+    return f""", qs AS (SELECT query_id, subject_type, norm, stem FROM {stripped('q', 'norm', 'stem')}),
+pr AS (SELECT c.query_id, c.uid, qs.subject_type = 'individual' AS person,
        string_split(CASE WHEN qs.subject_type = 'individual' THEN qs.norm ELSE qs.stem END, ' ') AS qt,
        string_split(CASE WHEN st.entry_type = 'individual' THEN st.norm ELSE coalesce(nullif(st.stem, ''), st.norm) END, ' ') AS nt
-       FROM near JOIN qs USING (query_id) JOIN st USING (uid)),
+       FROM {pairs} c JOIN qs USING (query_id) JOIN st USING (uid)),
 qx AS (SELECT query_id, uid, person, unnest(qt) AS x, unnest(generate_series(1, len(qt))) AS i FROM pr),
 nx AS (SELECT query_id, uid, person, unnest(nt) AS x, unnest(generate_series(1, len(nt))) AS i FROM pr),
 f AS ({_direction('qx', 'nx')}), b AS ({_direction('nx', 'qx')})
-SELECT f.query_id, f.uid AS name_id, round((f.s + b.s) / 2, 6) AS score FROM f JOIN b ON f.query_id = b.query_id AND f.uid = b.uid"""
+"""
+
+
+NAME_SCORES = STEMS + scores("near") + """SELECT f.query_id, f.uid AS name_id, round((f.s + b.s) / 2, 6) AS score FROM f JOIN b ON f.query_id = b.query_id AND f.uid = b.uid"""
+
+# One letter after the other: c is the letter at i, d and e the next ones, p the one before; u is what it sounds like, s how far to go.
+_VOWEL = "IN ('a', 'e', 'i', 'o', 'u')"
+_SOFT = "(d = 'i' AND e IN ('o', 'a'))"
+METAPHONE = f"""mp AS (
+  SELECT w, CASE WHEN left(lower(w), 2) IN ('ae', 'gn', 'kn', 'pn', 'wr') THEN substr(lower(w), 2) ELSE lower(w) END AS x, 1 AS i, '' AS o FROM words
+  UNION ALL
+  SELECT w, x, (i + s)::INT, o || u FROM (SELECT w, x, i, o,
+    CASE WHEN c = d AND c <> 'c' THEN '' WHEN c {_VOWEL} THEN CASE WHEN i = 1 THEN c ELSE '' END WHEN c IN ('f', 'j', 'l', 'm', 'n', 'r') THEN c
+      WHEN c = 'b' THEN CASE WHEN p = 'm' AND d = '' THEN '' ELSE 'b' END
+      WHEN c = 'c' THEN CASE WHEN d = 'h' OR (d = 'i' AND e = 'a') THEN 'x' WHEN d IN ('i', 'e', 'y') THEN 's' ELSE 'k' END
+      WHEN c = 'd' THEN CASE WHEN d = 'g' AND e IN ('i', 'e', 'y') THEN 'j' ELSE 't' END
+      WHEN c = 'g' THEN CASE WHEN d IN ('i', 'e', 'y') THEN 'j' WHEN (d = 'h' AND e <> '' AND e NOT {_VOWEL}) OR (d = 'n' AND e = '') THEN '' ELSE 'k' END
+      WHEN c = 'h' THEN CASE WHEN i = 1 OR d {_VOWEL} OR p NOT {_VOWEL} THEN 'h' ELSE '' END
+      WHEN c = 'k' THEN CASE WHEN p = 'c' THEN '' ELSE 'k' END WHEN c = 'p' THEN CASE WHEN d = 'h' THEN 'f' ELSE 'p' END WHEN c = 'q' THEN 'k'
+      WHEN c = 's' THEN CASE WHEN d = 'h' OR {_SOFT} THEN 'x' ELSE 's' END
+      WHEN c = 't' THEN CASE WHEN {_SOFT} THEN 'x' WHEN d = 'h' THEN '0' WHEN d = 'c' AND e = 'h' THEN '' ELSE 't' END
+      WHEN c = 'v' THEN 'f' WHEN c = 'w' THEN CASE WHEN (CASE WHEN i = 1 AND d = 'h' THEN e ELSE d END) {_VOWEL} THEN 'w' ELSE '' END
+      WHEN c = 'x' THEN CASE WHEN i > 1 THEN 'ks' WHEN d = 'h' OR {_SOFT} THEN 'x' ELSE 's' END
+      WHEN c = 'y' THEN CASE WHEN d {_VOWEL} THEN 'y' ELSE '' END WHEN c = 'z' THEN 's' ELSE '' END AS u,
+    CASE WHEN c = d AND c <> 'c' THEN 1 WHEN c = 'c' AND (d IN ('h', 'i', 'e', 'y')) THEN 2 WHEN c = 'd' AND d = 'g' AND e IN ('i', 'e', 'y') THEN 3
+      WHEN c = 'g' AND ((d = 'h' AND e <> '' AND e NOT {_VOWEL}) OR (d = 'n' AND e = '')) THEN 2 WHEN c IN ('p', 's', 't') AND d = 'h' THEN 2
+      WHEN c = 's' AND {_SOFT} THEN 3 WHEN c = 'w' AND i = 1 AND d = 'h' THEN 2 ELSE 1 END AS s
+    FROM (SELECT *, substr(x, i, 1) AS c, substr(x, i + 1, 1) AS d, substr(x, i + 2, 1) AS e, CASE WHEN i = 1 THEN '' ELSE substr(x, i - 1, 1) END AS p FROM mp WHERE i <= length(x)))),
+sound AS (SELECT w, upper(o) AS s FROM mp WHERE i > length(x) AND o <> '')"""
+#: Words that sound: alphabetic ones of three letters and more.
+SOUNDS = f""", tok AS (SELECT norm, unnest(list_distinct(string_split(norm, ' '))) AS w FROM (SELECT norm FROM q UNION SELECT norm FROM nm)),
+words AS (SELECT DISTINCT w FROM tok WHERE regexp_full_match(w, '[A-Z]{{3,}}')), {METAPHONE},
+heard AS (SELECT DISTINCT norm, s FROM tok JOIN sound USING (w)),
+alike AS (SELECT DISTINCT q.query_id, nm.uid FROM q JOIN heard a ON a.norm = q.norm JOIN heard b ON b.s = a.s JOIN nm ON nm.norm = b.norm AND nm.entry_type = q.subject_type),
+ph AS (SELECT query_id, uid, CASE WHEN a + b - k = 0 THEN 0 ELSE k / (a + b - k)::DOUBLE END AS sim FROM alike JOIN met USING (query_id, uid))
+"""
+SCREEN = STEMS.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + SOUNDS + f""", acr AS (SELECT uid, entry_type, norm, [a FOR a IN list_distinct([{initials('norm')}, {initials('one')}, {initials('stem')}]) IF length(a) >= 3] AS acr
+  FROM (SELECT *, {one_off('norm')} AS one FROM st) WHERE entry_type <> 'individual'),
+qa AS (SELECT query_id, norm, list_distinct([a FOR a IN [CASE WHEN contains(norm, ' ') THEN {initials('norm')} ELSE '' END, CASE WHEN contains(one, ' ') THEN {initials('one')} ELSE '' END,
+  CASE WHEN contains(stem, ' ') THEN {initials('stem')} ELSE '' END] IF length(a) >= 3]) AS spells
+  FROM (SELECT *, {one_off('norm')} AS one FROM {stripped('q', 'norm', 'stem')}) WHERE subject_type = 'entity'),
+short AS (SELECT query_id, uid FROM qa JOIN acr ON NOT contains(qa.norm, ' ') AND length(qa.norm) >= 3 AND list_contains(acr.acr, qa.norm)
+  UNION SELECT query_id, uid FROM (SELECT query_id, unnest(spells) AS x FROM qa) s JOIN nm ON nm.norm = s.x AND nm.entry_type = 'entity'),
+gen AS (SELECT query_id, uid, 'trigram' AS g, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, uid) AS r, 50 AS most FROM near
+  UNION ALL SELECT query_id, uid, 'phonetic', row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, uid), 50 FROM ph
+  UNION ALL SELECT query_id, uid, 'acronym', row_number() OVER (PARTITION BY query_id ORDER BY uid), 100 FROM short),
+prop AS (SELECT query_id, uid, list_sort(list(g)) AS gens FROM gen WHERE r <= most GROUP BY query_id, uid)
+""" + scores("prop") + """, sc AS (SELECT query_id, uid, gens, CASE WHEN list_contains(gens, 'acronym') THEN greatest((f.s + b.s) / 2, 0.9) ELSE (f.s + b.s) / 2 END AS score
+  FROM prop JOIN f USING (query_id, uid) JOIN b USING (query_id, uid)),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, uid) AS r,
+  list_contains(gens, 'acronym') AND count(*) FILTER (WHERE list_contains(gens, 'acronym')) OVER (PARTITION BY query_id) > 1 AS ambiguous FROM sc),
+res AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS position, uid, round(round(score, 9), 4) AS score, entry_type, primary_name AS matched_name,
+  'primary' AS name_kind, FALSE AS is_weak, gens, ambiguous FROM rnk JOIN nm USING (uid) WHERE r <= 10 OR ambiguous)
+"""
 
 COMPANIES = f"SELECT p_partkey, p_name || ' ' || {_FORM_LIST}[p_size % {len(TRAILING)} + 1] || ' ' || {_FORM_LIST}[p_partkey % {len(TRAILING)} + 1] AS company FROM part"
 FIRMS = f"SELECT p_partkey AS uid, CASE WHEN p_partkey % 3 = 0 THEN 'The ' ELSE '' END || replace(company, ' ', CASE WHEN p_partkey % 5 = 0 THEN ' & ' ELSE '-' END) AS name FROM ({COMPANIES})"
@@ -109,7 +171,8 @@ PUBLISHED_ALIASES = """SELECT o_custkey * 1048576 + row_number() OVER (PARTITION
 
 SQL = {
     "normalize_names": f"SELECT conv_id, turn, {norm('text')} AS norm FROM conversations",
-    "legal_forms": f"""SELECT p_partkey, nullif(regexp_extract(n, '(?:^| )({_T})$', 1), '') AS suffix, {one_off('n')} AS without_one, stem
+    "legal_forms": f"""SELECT p_partkey, nullif(regexp_extract(n, '(?:^| )({_T})$', 1), '') AS suffix,
+        map_extract_value({_JURISDICTION}, regexp_extract(n, '(?:^| )({_T})$', 1)) AS jurisdiction, {one_off('n')} AS without_one, stem
         FROM {stripped(f"(SELECT p_partkey, {norm('company')} AS n FROM ({COMPANIES}))", 'n', 'stem')}""",
     "name_acronyms": ACRONYMS + "SELECT uid AS name_id, norm AS name_norm, array_to_string(acr, ',') AS acronyms FROM ac",
     "acronym_group_sizes": ACRONYMS + "SELECT acronym, count(*) AS n_rows, count(DISTINCT uid) AS n_uids FROM (SELECT uid, unnest(acr) AS acronym FROM ac) GROUP BY acronym",
@@ -146,7 +209,12 @@ SQL = {
     "list_aliases": f"SELECT id, uid, alias_name, is_weak FROM ({PUBLISHED_ALIASES})",
     "list_features": """SELECT o_custkey AS uid, 'dob' AS feature_type, CASE WHEN o_orderstatus = 'P' THEN 'circa ' ELSE '' END || strftime(o_orderdate, '%d %b %Y') AS value_text,
         CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS value_date, NULL AS value_country FROM orders WHERE o_orderpriority = '1-URGENT'
-        UNION ALL SELECT o_custkey, 'passport_no', o_orderkey::VARCHAR, strftime(o_orderdate, '%Y-%m-%d'), o_orderstatus FROM orders WHERE o_orderpriority = '3-MEDIUM'""",
+        UNION ALL SELECT o_custkey, 'passport_no', o_orderkey::VARCHAR, strftime(o_orderdate, '%Y-%m-%d'), o_orderstatus FROM orders WHERE o_orderpriority = '3-MEDIUM'
+        UNION ALL SELECT c_custkey, k, v, NULL, NULL FROM (SELECT *, unnest(kinds) AS k, unnest(vals) AS v FROM (SELECT c_custkey,
+          CASE WHEN c_mktsegment = 'MACHINERY' THEN ['vessel_call_sign', 'vessel_type', 'vessel_flag', 'vessel_owner', 'vessel_tonnage'] ELSE ['place_of_birth', 'nationality', 'citizenship'] END AS kinds,
+          CASE WHEN c_mktsegment = 'MACHINERY' THEN ['CS' || c_custkey, 'Tanker', n_name, CASE WHEN c_acctbal > 0 THEN c_name END, c_nationkey::VARCHAR]
+            ELSE [CASE WHEN c_acctbal > 0 THEN c_mktsegment || ', ' || n_name END, n_name, CASE WHEN c_acctbal < 0 THEN n_name END] END AS vals
+          FROM customer JOIN nation ON c_nationkey = n_nationkey)) WHERE v IS NOT NULL""",
     "list_addresses": """SELECT c_custkey AS uid, CASE WHEN c_acctbal > 0 THEN 'No. ' || c_custkey || ', ' ELSE '' END || 'Floor 1' AS address, c_mktsegment AS city, n_name AS country
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "built_index": f"""WITH shown AS (SELECT c_custkey AS uid, CASE WHEN firm THEN 'entity' ELSE 'individual' END AS entry_type, 'primary' AS name_kind, FALSE AS is_weak, CASE WHEN NOT firm AND c_acctbal > 0 THEN 'Given ' || c_name ELSE c_name END AS display
@@ -206,4 +274,56 @@ SQL = {
         CASE l_linestatus WHEN 'O' THEN 'possible_match' ELSE 'true_match' END AS expected_outcome FROM lineitem)
         SELECT expected_outcome, count(*) FILTER (WHERE o = 'true_match') AS true_match, count(*) FILTER (WHERE o = 'possible_match') AS possible_match,
         count(*) FILTER (WHERE o = 'false_positive') AS false_positive FROM c GROUP BY 1""",
+    "phonetic_overlap": BASE.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + SOUNDS + """SELECT query_id, uid AS name_id, round(sim, 6) AS sim FROM
+        (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, uid) AS r FROM ph) WHERE r <= 50""",
+    "phonetic_codes": BASE.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + SOUNDS + """SELECT uid AS name_id, coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM heard WHERE heard.norm = nm.norm), '') AS phonetic_keys FROM nm""",
+    "screen": SCREEN + "SELECT * EXCLUDE (gens), array_to_string(gens, ',') AS generators FROM res",
+    "screened_records": SCREEN + """SELECT query_id, coalesce(c, '[]') AS candidates FROM cu LEFT JOIN (SELECT query_id, '[' || string_agg(
+        '{"uid":' || uid || ',"score":' || score || ',"entry_type":"' || entry_type || '","matched_name":' || to_json(matched_name) || ',"name_kind":"primary","is_weak":false,"generators":' || to_json(gens)
+        || ',"ambiguous":' || ambiguous || '}', ',' ORDER BY position) || ']' AS c FROM res GROUP BY query_id) USING (query_id)""",
+    "stored_index": ACRONYMS + f"""SELECT uid AS name_id, ac.entry_type, ac.norm AS name_norm, CASE WHEN ac.entry_type <> 'individual' THEN st.stem END AS stem, array_to_string(acr, ',') AS acronyms,
+        len({grams('ac.norm')})::INT AS n_grams FROM ac JOIN st USING (uid)""",
+    "index_differences": f"""WITH t AS ({TITLES}), f AS (SELECT uid AS name_id, primary_name AS display, FALSE AS is_weak FROM t),
+        s AS (SELECT name_id, display, name_id % 7 = 0 AS is_weak FROM f WHERE name_id % 11 <> 0)
+        SELECT *, 'fresh' AS side FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM s) UNION ALL SELECT *, 'stored' FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM f)""",
+    "acronym_expansion": ACRONYMS + f""", l AS (SELECT uid, acr[1] AS norm FROM ac WHERE len(acr) > 0),
+        s AS (SELECT uid, unnest([CASE WHEN contains(norm, ' ') THEN {initials('norm')} ELSE '' END, CASE WHEN contains(one, ' ') THEN {initials('one')} ELSE '' END,
+          CASE WHEN contains(stem, ' ') THEN {initials('stem')} ELSE '' END]) AS x FROM st WHERE entry_type = 'entity')
+        SELECT query_id, name_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name_id) AS r FROM
+          (SELECT DISTINCT 'S-' || s.uid AS query_id, l.uid AS name_id FROM s JOIN l ON l.norm = s.x AND length(s.x) >= 3)) WHERE r <= 100""",
+    "idf_one_form": f"""WITH s AS (SELECT * FROM (SELECT {one_off(norm('company'))} AS stem FROM ({COMPANIES})) WHERE stem <> ''), sz AS (SELECT count(*) AS n FROM s),
+        df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(string_split(stem, ' '))) AS token FROM s) GROUP BY token)
+        SELECT token, df, round(ln((n + 1.0) / (df + 1)) + 1, 6) AS idf FROM df, sz""",
+    "distinctive_words": f"""WITH n AS (SELECT p_partkey, {norm("company || CASE WHEN p_partkey % 2 = 0 THEN ' International Trading' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' LLC' ELSE '' END")} AS n FROM ({COMPANIES}))
+        SELECT p_partkey, array_to_string([t FOR t IN string_split({one_off('n')}, ' ') IF length(t) > 1 AND NOT list_contains([{_GENERIC}], t)
+          AND t <> regexp_extract(n, '(?:^| )({_T})$', 1)], ',') AS words FROM n""",
+    "perturb_people": f"""WITH t AS ({TITLES}), p AS (SELECT uid, regexp_replace(primary_name, ' [^ ]*$', '') AS f, 'al-' || regexp_extract(primary_name, '([^ ]*)$', 1) AS l FROM t WHERE contains(primary_name, ' ')),
+        b AS (SELECT uid, {title("trim(f) || ' ' || trim(l)")} AS base, {title("l || ' ' || f")} AS turned FROM p),
+        w AS (SELECT *, list_filter(regexp_split_to_array(base, '\\s+'), lambda x: x <> '') AS ws FROM b)
+        SELECT * FROM (SELECT uid, 'name_order_inversion' AS perturbation_type, turned AS query_name FROM w
+          UNION ALL SELECT uid, 'initialize', left(ws[1], 1) || '. ' || array_to_string(ws[2:], ' ') FROM w WHERE len(ws) >= 2 AND length(ws[1]) >= 2
+          UNION ALL SELECT uid, 'dob_degradation', base FROM w UNION ALL SELECT uid, 'hyphen_spacing', replace(base, '-', '') FROM w)""",
+    "unanswered_queries": BASE + "SELECT query_id FROM cu WHERE query_id NOT IN (SELECT query_id FROM near)",
+    "list_violations": """WITH c AS (SELECT c_custkey AS uid FROM customer), e AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE uid % 20 = 0)
+        SELECT 'duplicate_uid' AS rule, (SELECT count(*) FROM c WHERE uid % 20 = 0) AS n UNION ALL SELECT 'unknown_entry_type', (SELECT count(*) FROM e WHERE uid % 7 = 0)
+        UNION ALL SELECT 'no_primary_name', (SELECT count(*) FROM e WHERE uid % 9 = 0) UNION ALL SELECT 'aliases_without_entry', (SELECT count(*) FROM orders WHERE o_custkey * 2 NOT IN (SELECT uid FROM c))
+        UNION ALL SELECT 'features_without_entry', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT uid FROM c))
+        UNION ALL SELECT 'addresses_without_entry', (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE -c_custkey NOT IN (SELECT uid FROM c))""",
+    "split_faults": """WITH l AS (SELECT doc_id % 97 AS u, CASE WHEN quality = 1 THEN 'dev' WHEN toxic = 0 THEN 'test' END AS s FROM labels)
+        SELECT 'invalid_split' AS rule, count(*) FILTER (WHERE s IS NULL) AS n FROM l
+        UNION ALL SELECT 'source_in_both_splits', count(*) FROM (SELECT u FROM l GROUP BY u HAVING count(DISTINCT s) > 1)""",
+    "answer_faults": """WITH l AS (SELECT 'Q-' || l_orderkey AS q, l_partkey AS u, * FROM lineitem), a AS (SELECT DISTINCT q, u FROM l WHERE l_linestatus = 'F'),
+        s AS (SELECT q, u, count(*) AS n FROM l WHERE l_returnflag <> 'N' OR l_linenumber = 1 GROUP BY q, u)
+        SELECT DISTINCT query_id, fault FROM (SELECT coalesce(a.q, s.q) AS query_id, CASE WHEN a.q IS NULL THEN 'invented' WHEN s.q IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated'
+        WHEN s.u % 10 = 0 THEN 'evidence_not_in_input' END AS fault FROM a FULL JOIN s ON a.q = s.q AND a.u = s.u) WHERE fault IS NOT NULL""",
+    "judgement_chunks": "SELECT o_custkey AS query_id, o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4)::INT AS chunk FROM orders",
+    "screening_funnel": """SELECT 'queries' AS stage, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'pairs', count(*) FROM lineitem
+        UNION ALL SELECT 'pairs_after_precheck', count(*) FROM lineitem WHERE l_returnflag <> 'A' UNION ALL SELECT 'pairs_true_or_possible', count(*) FROM lineitem WHERE l_returnflag <> 'A' AND l_linestatus <> 'F'""",
+    "nickname_variants": """WITH p AS (SELECT p_partkey AS query_id, p_name AS query_name, string_split(p_name, ' ') AS w FROM part), k AS (SELECT DISTINCT w[1] AS s FROM p),
+        m AS (SELECT query_id, w, unnest(generate_series(1, len(w))) AS i FROM p)
+        SELECT query_id, query_name, FALSE AS variant FROM p
+        UNION ALL SELECT query_id, array_to_string(list_concat(list_concat(w[:i - 1], ['Mc' || s]), w[i + 1:]), ' '), TRUE FROM m JOIN k ON upper(w[i]) = upper(s)""",
+    "records_round_trip": f"""WITH t AS ({TITLES}), cu AS ({CUSTOMERS}) SELECT query_id, subject_type, query_name, is_true_match, source_uid, 'dev' AS split FROM cu WHERE length(query_name) % 4 = 0""",
+    "feature_report": LIST_TABLES + """SELECT 'features' AS report, '[' || string_agg('{"entry_type":"' || entry_type || '","feature_type":"' || feature_type || '","n":' || n || '}', ',' ORDER BY entry_type, feature_type) || ']' AS body
+        FROM (SELECT entry_type, feature_type, count(*) AS n FROM f JOIN e USING (uid) GROUP BY ALL)""",
 }

@@ -7,8 +7,6 @@ not. All rows of each table take part.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +17,7 @@ from ..functions import keys, similarity, text
 from ..functions.reference_data import TRAILING
 from ..operators import adjudication, benchmark, evaluation, names_index, screening
 from ..shipping import ship_package
-from ..sources import watchlist
+from ..sources import records, watchlist
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +41,25 @@ def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that driver and executors share; without one only a local master goes on, with the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share with the driver")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Over all cores, where a small table has fewer files: what follows is much work a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index; it is kept for the session, as a stored one would be, and later queries find it by its plan."""
-    return names_index.derive(raw_names(spark, sf_dir)).persist()
+    return names_index.derive(spread_out(raw_names(spark, sf_dir))).persist()
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +93,7 @@ def company_names(spark, sf_dir):
 def legal_forms(spark, sf_dir):
     norm = text.normalize(F.col("company"))
     return company_names(spark, sf_dir).select(
-        "p_partkey", text.find_legal_suffix(norm).alias("suffix"), F.trim(text.strip_legal_suffix(norm)).alias("without_one"), text.strip_legal_forms(norm).alias("stem")
+        "p_partkey", text.find_legal_suffix(norm).alias("suffix"), text.jurisdiction(norm).alias("jurisdiction"), F.trim(text.strip_legal_suffix(norm)).alias("without_one"), text.strip_legal_forms(norm).alias("stem")
     )
 
 
@@ -129,7 +143,7 @@ def name_scores(spark, sf_dir):
 
 def screen(spark, sf_dir):
     out = screening.screen(customers(spark, sf_dir), names(spark, sf_dir))
-    return out.select("query_id", "position", "uid", F.round("score", 4).alias("score"), "entry_type", "matched_name", "name_kind", "is_weak", F.array_join("generators", ",").alias("generators"), "ambiguous")
+    return out.select("query_id", "position", "uid", F.round(F.round("score", 9), 4).alias("score"), "entry_type", "matched_name", "name_kind", "is_weak", F.array_join("generators", ",").alias("generators"), "ambiguous")
 
 
 def screened_records(spark, sf_dir):
@@ -203,9 +217,15 @@ def _publication(spark, sf_dir) -> DataFrame:
         text("c_custkey").alias("uid"), F.when(firm, "Entity").otherwise("Individual").alias("sdnType"), F.when(~firm & (F.col("c_acctbal") > 0), "Given").alias("firstName"), F.col("c_name").alias("lastName"),
         F.struct(F.array("c_mktsegment", "n_name").alias("program")).alias("programList"), F.struct(items("akas").alias("aka")).alias("akaList"),
         F.struct(items("births").alias("dateOfBirthItem")).alias("dateOfBirthList"), F.struct(items("papers").alias("id")).alias("idList"), F.struct(F.array(address).alias("address")).alias("addressList"),
+        F.struct(F.when(~firm & (F.col("c_acctbal") > 0), F.array(F.struct(F.concat_ws(", ", "c_mktsegment", "n_name").alias("placeOfBirth")))).alias("placeOfBirthItem")).alias("placeOfBirthList"),
+        F.struct(F.when(~firm, F.array(F.struct(F.col("n_name").alias("country")))).alias("nationality")).alias("nationalityList"),
+        F.struct(F.when(~firm & (F.col("c_acctbal") < 0), F.array(F.struct(F.col("n_name").alias("country")))).alias("citizenship")).alias("citizenshipList"),
+        F.when(firm, F.struct(
+            F.concat(F.lit("CS"), text("c_custkey")).alias("callSign"), F.lit(" Tanker ").alias("vesselType"), F.col("n_name").alias("vesselFlag"),
+            F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("vesselOwner"), text("c_nationkey").alias("tonnage"), F.lit(" ").alias("grossRegisteredTonnage"),
+        )).alias("vesselInfo"),
     )
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "sieveline-lists")
-    path = f"{shared}/list-{uuid.uuid4().hex}"
+    path = shared_path(spark, "list")
     entries.write.format("xml").option("rootTag", "sdnList").option("rowTag", "sdnEntry").save(path)
     return watchlist.read_entries(spark, path)
 
@@ -358,12 +378,133 @@ def confusion(spark, sf_dir):
     return adjudication.confusion(li)
 
 
+def stored_index(spark, sf_dir):
+    """The index stored from entities, individuals appended, everything appended once more, and read back."""
+    listed, path = names(spark, sf_dir), shared_path(spark, "index")
+    names_index.write(listed.where("entry_type = 'entity'"), path)
+    names_index.add(listed.where("entry_type = 'individual'"), path)
+    names_index.add(listed, path)
+    out = names_index.read(spark, path)
+    return out.select("name_id", "entry_type", "name_norm", "stem", F.array_join("acronyms", ",").alias("acronyms"), F.size("grams").alias("n_grams"))
+
+
+def index_differences(spark, sf_dir):
+    """What a check of a stored index against a fresh one finds: here every seventh row has another mark, every eleventh is missing."""
+    fresh = raw_names(spark, sf_dir).select("name_id", "display", "is_weak")
+    stored = fresh.where("name_id % 11 <> 0").withColumn("is_weak", F.col("name_id") % 7 == 0)
+    return names_index.differences(fresh, stored)
+
+
+def phonetic_codes(spark, sf_dir):
+    return names(spark, sf_dir).select("name_id", F.array_join("phonetic_keys", ",").alias("phonetic_keys"))
+
+
+def acronym_expansion(spark, sf_dir):
+    """Customers whose name spells out a listed one."""
+    listed = names(spark, sf_dir)
+    short = listed.where("size(acronyms) > 0").select("name_id", "uid", "entry_type", "name_kind", "is_weak", F.get("acronyms", F.lit(0)).alias("display"))
+    asked = titles(spark, sf_dir).where("entry_type = 'entity'").select(F.concat(F.lit("S-"), F.col("uid").cast("string")).alias("query_id"), F.lit("entity").alias("subject_type"), F.col("primary_name").alias("query_name"))
+    pairs = screening.acronym_pairs(screening.prepare(asked), names_index.derive(short))
+    return screening.best_rows(pairs, 100, "uid", "name_id").select("query_id", "name_id")
+
+
+def idf_one_form(spark, sf_dir):
+    """Document frequencies over names without one trailing legal form."""
+    stems = company_names(spark, sf_dir).select(F.trim(text.strip_legal_suffix(text.normalize(F.col("company")))).alias("stem"))
+    return similarity.idf_table(stems).select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+def distinctive_words(spark, sf_dir):
+    norm = text.normalize(F.concat_ws(" ", F.col("company"), F.when(F.col("p_partkey") % 2 == 0, "International Trading"), F.when(F.col("p_partkey") % 3 == 0, "LLC")))
+    return company_names(spark, sf_dir).select("p_partkey", F.array_join(text.distinctive_tokens(norm), ",").alias("words"))
+
+
+def perturb_people(spark, sf_dir):
+    """Titles as persons: their last word is the family name."""
+    words = F.split("primary_name", " ")
+    people = titles(spark, sf_dir).where(F.size(words) >= 2).select(
+        "uid", F.lit("individual").alias("entry_type"), "primary_name", F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ").alias("first_name"),
+        F.concat(F.lit("al-"), F.element_at(words, -1)).alias("last_name"), F.lit(None).cast("string").alias("city"),
+    )
+    return benchmark.plain_perturbations(people).select("uid", "perturbation_type", "query_name")
+
+
+def unanswered_queries(spark, sf_dir):
+    answered = screening.best_rows(_near(spark, sf_dir), 10, F.desc("sim"), "name_id").select("query_id").distinct()
+    return evaluation.unanswered(customers(spark, sf_dir), answered)
+
+
+def list_violations(spark, sf_dir):
+    """Customers as entries, each twentieth of them twice and each seventh of an unknown type; orders as rows of unknown entries."""
+    e, f, a = _list_tables(spark, sf_dir)
+    e = e.unionByName(e.where("uid % 20 = 0")).withColumn("entry_type", F.when(F.col("uid") % 7 == 0, "ship").otherwise(F.col("entry_type")))
+    far = f.withColumn("uid", F.col("uid") * 2)
+    t = {"entries": e.withColumn("primary_name", F.when(F.col("uid") % 9 > 0, F.col("primary_name"))), "aliases": far, "features": f, "addresses": a.withColumn("uid", -F.col("uid"))}
+    return watchlist.violations(t)
+
+
+def split_faults(spark, sf_dir):
+    rows = _read(spark, sf_dir, "labels").select(
+        F.lit(True).alias("is_true_match"), (F.col("doc_id") % 97).alias("source_uid"), F.when(F.col("quality") == 1, "dev").when(F.col("toxic") == 0, "test").alias("split")
+    )
+    return benchmark.split_faults(rows)
+
+
+def _line_pairs(spark, sf_dir) -> DataFrame:
+    """Order lines as (query_id, uid): a customer's order and a part."""
+    li = _read(spark, sf_dir, "lineitem")
+    return li.select(F.concat(F.lit("Q-"), F.col("l_orderkey").cast("string")).alias("query_id"), F.col("l_partkey").alias("uid"), "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+def answer_faults(spark, sf_dir):
+    """Lines that are done were asked; answers come for returned or accepted ones, some twice, some with words that are not there."""
+    li = _line_pairs(spark, sf_dir)
+    asked = li.where("l_linestatus = 'F'").select("query_id", "uid").distinct().withColumn("names", F.array(F.col("uid").cast("string")))
+    answers = li.where("l_returnflag <> 'N' or l_linenumber = 1").select("query_id", "uid", F.when(F.col("uid") % 10 > 0, F.col("uid").cast("string")).otherwise("?").alias("listed_evidence"))
+    return adjudication.invalid_answers(asked, answers)
+
+
+def judgement_chunks(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    position = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pairs = o.select(F.col("o_custkey").alias("query_id"), "o_orderkey", position.alias("position"))
+    return adjudication.chunks(pairs, 4).select("query_id", "o_orderkey", "chunk")
+
+
+def screening_funnel(spark, sf_dir):
+    li = _line_pairs(spark, sf_dir).withColumn("conflict", F.when(F.col("l_returnflag") == "A", "location"))
+    decided = li.where("conflict is null").withColumn("outcome", F.when(F.col("l_linestatus") == "F", "false_positive").otherwise("possible_match"))
+    return adjudication.funnel(li.select("query_id").distinct(), li, li, decided)
+
+
+def nickname_variants(spark, sf_dir):
+    """Parts by name, each first word a nickname of another."""
+    parts = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_name"))
+    short = F.split("query_name", " ")[0]
+    nicknames = parts.select(short.alias("nickname"), F.concat(F.lit("Mc"), short).alias("name")).distinct()
+    return adjudication.expand_nicknames(parts, nicknames)
+
+
+def records_round_trip(spark, sf_dir):
+    """Customers written as JSON lines and read back, those of one split."""
+    path = shared_path(spark, "records")
+    asked = customers(spark, sf_dir).withColumn("split", F.when(F.length("query_name") % 4 == 0, "dev").otherwise("test"))
+    records.write_json(asked, path)
+    return records.read_queries(spark, path, "dev").select("query_id", "subject_type", "query_name", "is_true_match", "source_uid", "split")
+
+
+def feature_report(spark, sf_dir):
+    """The histogram of facts as one JSON text."""
+    return records.report_row(feature_histogram(spark, sf_dir), "features")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         screen, screened_records, normalize_names, legal_forms, name_acronyms, acronym_group_sizes, trigram_topk, phonetic_overlap, acronym_lookup, token_similarity, idf,
         name_scores, recall_at_k, recall_by_perturbation, operating_points, threshold_baseline, misses, list_entries, list_aliases, list_features, list_addresses, built_index, md5_sample, customer_attributes, first_place, feature_histogram,
         birth_years, listed_dates, stratified_split, frozen_split, perturb_companies, perturb_drawn, benchmark_queries, benchmark_conformance, benchmark_split_report,
-        adjudicated, outcome_intervals, bootstrap, mcnemar, flip_rate, confusion,
+        adjudicated, outcome_intervals, bootstrap, mcnemar, flip_rate, confusion, stored_index, index_differences, phonetic_codes, acronym_expansion, idf_one_form, distinctive_words,
+        perturb_people, unanswered_queries, list_violations, split_faults, answer_faults, judgement_chunks, screening_funnel, nickname_variants, records_round_trip, feature_report,
     )
 }
