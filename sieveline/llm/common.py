@@ -19,8 +19,8 @@ from ..shipping import ship_package
 BLANKS = "\t\n\x0b\x0c\r "
 #: Upper bound of text bytes that one vectorised step holds at a time; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
-#: Rows of an Arrow batch that a function gets at once. Batches themselves are bounded by Spark (``arrow.maxBytesPerBatch``, 64 MB).
-BATCH_ROWS = 512
+#: Rows of an Arrow batch that a function gets at once, and bytes of a batch that Spark sends (its own bound is 64 MB).
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -105,9 +105,25 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(text: str) -> int:
+    """``64m``, ``67108864b`` or ``67108864`` as a number."""
+    unit = {"b": 0, "k": 10, "m": 20, "g": 30}
+    low = text.lower().removesuffix("b") or "0"
+    return int(low[:-1]) << unit[low[-1]] if low[-1] in unit else int(low)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with one bounded Arrow batch in and one or several out."""
+    """``mapInArrow`` with one bounded Arrow batch in and one or several out.
+
+    Spark's bound of bytes a batch is lowered where it is larger: two tasks an executor would hold several times 64 MB outside the
+    heap. Rows a batch stay as they are, so functions over short rows get as many as ever.
+    """
     ship_package(df.sparkSession)
+    if _bytes(df.sparkSession.conf.get(ARROW_BYTES)) > BATCH_BYTES:
+        df.sparkSession.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
