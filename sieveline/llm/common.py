@@ -73,8 +73,33 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 drop_table(df)
 
 
+#: Input bytes for which a bucketed table gets one bucket, and the most buckets.
+BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 50_000
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets in proportion to the input, so that their files are neither many and small nor large; all cores have one."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    if size >= 1 << 60:  # unknown
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(-(-size // BUCKET_BYTES), MAX_BUCKETS))
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """``df``, dealt by ``keys`` into ``buckets`` partitions, as a written table of so many buckets: joins on the keys need not deal it again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._sieveline_path, out._sieveline_table = path, table  # noqa: SLF001
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a ``materialize``d table that no later plan reads."""
+    """Delete the files behind a ``materialize``d or ``bucketed`` table that no later plan reads."""
+    if table := getattr(df, "_sieveline_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path := getattr(df, "_sieveline_path", None):
         delete(df.sparkSession, path)
 

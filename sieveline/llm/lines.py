@@ -29,8 +29,6 @@ from . import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = 2**63 - 1
-#: Input bytes for which a run gets one bucket, and the most buckets of a run.
-BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 50_000
 #: With it Spark trusts the order within buckets of one file each, and does not sort a run again.
 SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -54,15 +52,6 @@ def _place(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets in proportion to the input, so that their files are neither many and small nor large; all cores have one."""
-    spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
-    if size >= 1 << 60:  # unknown
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, min(-(-size // BUCKET_BYTES), MAX_BUCKETS))
-
-
 class LineRuns:
     """The index: ``levels[i]`` lists the bucketed run tables of level i."""
 
@@ -159,7 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     lines = common.materialize(line_hashes(docs, min_chars, id_col, text_col), "line-hashes")
-    marks = mark_lines(lines, sorted(set(cuts or [])), bucket_count(docs))
+    marks = mark_lines(lines, sorted(set(cuts or [])), common.bucket_count(docs))
     common.drop_table(lines)
     marks = marks.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
     out = docs.select(*_packed(id_col, text_col, others)).join(marks, ["_doc", "_version"], "left")

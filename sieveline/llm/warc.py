@@ -8,8 +8,9 @@ digest are checked, a revisit takes its payload's size and digest from the recor
 
 Of records with equal payloads the one with the smallest page id is the response and the others revisit it. Digests
 are computed where the pages are read; only (id, digest) rows are shuffled to find that page, pre-aggregated, so a
-payload that a third of all pages have is no hot spot; bytes are shuffled to the table of distinct payloads, and once more
-to rebuild the responses. Revisits need no bytes, and a response that most revisits refer to is dealt out.
+payload that a third of all pages have is no hot spot; bytes are shuffled once, to the table of distinct payloads, which is
+bucketed, so that rebuilding the responses moves headers alone. Revisits need no bytes, and a response that most revisits
+refer to is dealt out.
 
 Defined results: a null html is the empty payload; null urls are written as ``urn:sieveline:no-url``, line ends within urls as
 ``%0D`` and ``%0A``; repeated page ids with equal payloads are each responses, with different ones records of their own; a
@@ -52,7 +53,10 @@ def _digests(pages: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
-    """Write ``pages`` (page_id, url, html): the written tables headers (page_id, address, header) and payloads (address, payload)."""
+    """Write ``pages`` (page_id, url, html): the tables headers (page_id, address, page, header) and payloads (address, page, payload).
+
+    ``page`` is the page whose payload was stored, so that (address, page) tells where the bytes are.
+    """
     hashed = _digests(pages)
     index = common.materialize(
         hashed.select("page_id", "url", "address", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1")),
@@ -72,12 +76,14 @@ def archive(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
         (F.octet_length(http) + F.when(F.col("response"), F.col("n")).otherwise(0)).cast("string"), F.lit(HEADER_END), http,
     )
-    headers = common.materialize(placed.select("page_id", "address", header.cast("binary").alias("header")), "warc-headers")
-    # the bytes are shuffled once: semi-join and distinct need the same partitioning, since an address has one head
-    page = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page")
-    heads = firsts.select("address", F.coalesce(F.col("head").cast("long"), F.lit(NO_ID)).alias("page"))
-    kept = hashed.select("address", page, "payload").join(heads, ["address", "page"], "left_semi").dropDuplicates(["address", "page"])
-    payloads = common.materialize(kept.select("address", "payload"), "warc-payloads")
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias("page")
+    headers = common.materialize(placed.select("page_id", "address", known("head"), header.cast("binary").alias("header")), "warc-headers")
+    # the bytes are shuffled once: semi-join, distinct and buckets need the same partitioning, since an address has one head
+    buckets = common.bucket_count(pages)
+    dealt = hashed.select("address", known("page_id"), "payload").repartition(buckets, "address", "page")
+    kept = dealt.join(firsts.select("address", known("head")), ["address", "page"], "left_semi").dropDuplicates(["address", "page"])
+    payloads = common.bucketed(kept, "warc-payloads", buckets, "address", "page")
+    common.drop_table(index)
     return headers, payloads
 
 
@@ -95,7 +101,7 @@ def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     sound = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("payload missing or changed: "), F.col("address"))).cast("binary")
     )
-    responses = headers.where(~revisit).join(payloads, "address", "left").select("page_id", F.concat("header", sound, end).alias("record"))
+    responses = headers.where(~revisit).join(payloads, ["address", "page"], "left").select("page_id", F.concat("header", sound, end).alias("record"))
     return responses.unionByName(headers.where(revisit).select("page_id", F.concat("header", end).alias("record")))
 
 
@@ -180,4 +186,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def page_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archive all ``pages``, rebuild every record and report what it holds."""
-    return read_archive(*archive(pages.select("page_id", "url", "html"), min_bytes))
+    headers, payloads = archive(pages.select("page_id", "url", "html"), min_bytes)
+    out = read_archive(headers, payloads)
+    common.drop_table(headers)
+    common.drop_table(payloads)
+    return out
