@@ -92,10 +92,16 @@ def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
     table = path.rpartition("/")[2].replace("-", "_")
     df.write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
     out = spark.table(table)
-    out._sieveline_path, out._sieveline_table = path, table  # noqa: SLF001
+    out._sieveline_path, out._sieveline_table, out._sieveline_buckets = path, table, buckets  # noqa: SLF001
     return out
 
 
+def dealt_like(df: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in the partitions of a ``bucketed`` table: left to itself, Spark deals both sides anew where buckets are few."""
+    buckets = getattr(table, "_sieveline_buckets", None)
+    return df.repartition(buckets, *keys) if buckets else df
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a ``materialize``d or ``bucketed`` table that no later plan reads."""
     if table := getattr(df, "_sieveline_table", None):

@@ -101,7 +101,8 @@ def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     sound = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("payload missing or changed: "), F.col("address"))).cast("binary")
     )
-    responses = headers.where(~revisit).join(payloads, ["address", "page"], "left").select("page_id", F.concat("header", sound, end).alias("record"))
+    known = common.dealt_like(headers.where(~revisit), payloads, "address", "page")
+    responses = known.join(payloads, ["address", "page"], "left").select("page_id", F.concat("header", sound, end).alias("record"))
     return responses.unionByName(headers.where(revisit).select("page_id", F.concat("header", end).alias("record")))
 
 

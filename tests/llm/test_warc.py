@@ -8,7 +8,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import queries, warc
+from sieveline.llm import common, queries, warc
 from tests import support
 
 SCHEMA = "page_id long, url string, html string"
@@ -73,6 +73,13 @@ def test_changed_payloads_are_refused(spark):
         warc.read_archive(revisit, payloads).collect()
 
 
+def test_stored_payloads_are_not_shuffled_again(spark):
+    with common.setting(spark, "spark.sql.shuffle.partitions", "50"), common.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        headers, payloads = warc.archive(spark.createDataFrame(PAGES, SCHEMA))
+        plan = warc.reconstruct(headers, payloads)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 def test_line_ends_in_urls_are_escaped(spark):
     headers, payloads = warc.archive(spark.createDataFrame([(1, "http://b\r\nX: y", "z")], SCHEMA))
     (fields, _, _), = warc.parse_records(bytes(warc.reconstruct(headers, payloads).first()["record"]))
