@@ -81,7 +81,8 @@ def archive(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:
     # the bytes are shuffled once: semi-join, distinct and buckets need the same partitioning, since an address has one head
     buckets = common.bucket_count(pages)
     dealt = hashed.select("address", known("page_id"), "payload").repartition(buckets, "address", "page")
-    kept = dealt.join(firsts.select("address", known("head")), ["address", "page"], "left_semi").dropDuplicates(["address", "page"])
+    heads = firsts.select("address", known("head")).repartition(buckets, "address", "page")
+    kept = dealt.join(heads, ["address", "page"], "left_semi").dropDuplicates(["address", "page"])
     payloads = common.bucketed(kept, "warc-payloads", buckets, "address", "page")
     common.drop_table(index)
     return headers, payloads
