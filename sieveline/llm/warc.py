@@ -82,7 +82,8 @@ def archive(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:
     buckets = common.bucket_count(pages)
     dealt = hashed.select("address", known("page_id"), "payload").repartition(buckets, "address", "page")
     heads = firsts.select("address", known("head")).repartition(buckets, "address", "page")
-    kept = dealt.join(heads, ["address", "page"], "left_semi").dropDuplicates(["address", "page"])
+    # an inner join, since a semi-join would be moved below the dealing and shuffle the bytes for itself; heads are distinct
+    kept = dealt.join(heads, ["address", "page"]).dropDuplicates(["address", "page"])
     payloads = common.bucketed(kept, "warc-payloads", buckets, "address", "page")
     common.drop_table(index)
     return headers, payloads
