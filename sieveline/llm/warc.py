@@ -79,7 +79,8 @@ def archive(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:
     known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias("page")
     headers = common.materialize(placed.select("page_id", "address", known("head"), header.cast("binary").alias("header")), "warc-headers")
     # the bytes are shuffled once: semi-join, distinct and buckets need the same partitioning, since an address has one head
-    buckets = common.bucket_count(pages)
+    # no fewer than shuffle partitions: Spark would deal both sides of the join into that many, and every task write every bucket
+    buckets = max(common.bucket_count(pages), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = hashed.select("address", known("page_id"), "payload").repartition(buckets, "address", "page")
     heads = firsts.select("address", known("head")).repartition(buckets, "address", "page")
     # an inner join, since a semi-join would be moved below the dealing and shuffle the bytes for itself; heads are distinct

@@ -67,7 +67,7 @@ def test_runs_are_neither_shuffled_nor_sorted(spark):
     index = lines.LineRuns(spark, 5, fanout=4)
     for low in (0, 20, 40):
         index.add(keys(low, low + 19))
-    with common.setting(spark, lines.SORTED_BUCKETS, "true"):
+    with common.setting(spark, lines.SORTED_BUCKETS, "true"), common.setting(spark, "spark.sql.shuffle.partitions", "50"):
         plan = index.meet(keys(60, 89))._jdf.queryExecution().executedPlan().toString()
     joins = plan.count("SortMergeJoin")
     assert joins == 3 and plan.count("Bucketed: true") == 3

@@ -78,6 +78,8 @@ def test_stored_payloads_are_not_shuffled_again(spark):
         headers, payloads = warc.archive(spark.createDataFrame(PAGES, SCHEMA))
         plan = warc.reconstruct(headers, payloads)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    files = [r["f"] for r in payloads.select(F.input_file_name().alias("f")).distinct().collect()]
+    assert len(files) == len({f.rpartition("_")[2] for f in files})  # one file a bucket
 
 
 def test_line_ends_in_urls_are_escaped(spark):
