@@ -22,7 +22,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).drop("version")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,14 @@ FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
       FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
 """
 
+#: Each document's set: its distinct shingles of two words, which hold no blanks.
+_SETS = r"""
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+                          ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": f"""
 WITH l AS ({_LINES}),
@@ -86,6 +94,21 @@ m AS (SELECT l.doc_id, l.pos, l.line, h.head IS NOT NULL AND h.head < l.doc_id A
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op2_near_duplicates": f"""
+WITH RECURSIVE {_SETS},
+sets AS (SELECT doc_id, s, len(s) AS n, sha256(array_to_string(list_sort(s), chr(10))) AS c FROM s),
+classes AS (SELECT c, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS d FROM sets WHERE n > 0 AND doc_id IS NOT NULL GROUP BY c),
+g AS (SELECT c, n, unnest(s) AS g FROM classes),
+pairs AS (SELECT a.c AS a, b.c AS b FROM g a JOIN g b ON a.g = b.g AND a.c < b.c AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+            GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+own AS (SELECT DISTINCT doc_id, c FROM sets WHERE n > 0 AND doc_id IS NOT NULL),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION
+          SELECT x.c, y.c FROM own x JOIN own y ON x.doc_id = y.doc_id AND x.c <> y.c),
+reached AS (SELECT c, d FROM classes UNION SELECT edges.b, reached.d FROM reached JOIN edges ON reached.c = edges.a),
+least AS (SELECT c, min(d) AS component_id FROM reached GROUP BY c)
+SELECT doc_id, n AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END AS component_id,
+       coalesce(doc_id = component_id, true) AS kept
+FROM sets LEFT JOIN least USING (c)""",
     "op5_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS address,

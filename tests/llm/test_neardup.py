@@ -1,4 +1,4 @@
-"""Near-duplicates against brute force over all pairs."""
+"""Near-duplicates against brute force over all pairs, and SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import itertools
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import common, neardup
+from sieveline.llm import common, neardup, queries
+from tests import support
 
 from .conftest import awkward, make
 
@@ -130,3 +132,14 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["id"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 201)} == {1} and {got[i] for i in range(1000, 1100)} == {1000} and got[5000] == 4000
     assert len(got) == 200 + 100 + 2
+
+
+def test_query_equals_sql(spark, sf_dir):
+    support.same(queries.op2_near_duplicates(spark, sf_dir), support.database(sf_dir), queries.ORACLE["op2_near_duplicates"])
+
+
+def test_sql_holds_for_awkward_documents(spark, docs):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [list(r[:2]) for r in awkward()])
+    support.same(neardup.near_duplicates(docs, width=2).drop("version"), db, queries.ORACLE["op2_near_duplicates"])
