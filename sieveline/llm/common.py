@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -136,6 +137,13 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system: workers outlive tasks, and stages in the JVM need the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -157,12 +165,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
         df.sparkSession.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = fn(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+        try:
+            for batch in slices(batches):
+                out = fn(batch)
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
+        finally:
+            release_memory()
 
     return df.mapInArrow(run, schema)
 
