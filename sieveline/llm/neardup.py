@@ -13,7 +13,8 @@
    blocks of sketch comparisons; no candidate between different components is left out.
 4. Pairs pass a size test, then the union-sketch estimate (share of common values among the k smallest of the union;
    exact for sets within k), then exact Jaccard on full sets, recomputed from whole texts. In blocks sketches have
-   ``WIDE`` values, so that most sets are whole and confirmed there.
+   ``WIDE`` values, so that most sets are whole and confirmed there. Of its links a block gives those that join components,
+   fewer than members; where sets are not whole it names the members in doubt, which ``exact_links`` compares in blocks.
 
 Joins on a list's head and on the class of many copies deal frequent keys over several tasks (``common.join_hot``).
 
@@ -42,6 +43,7 @@ WIDE = 512
 EXACT = (1 << 31) - 1
 SMALL = 48
 ROWS, COLUMNS = 128, 512  # members that one block compares
+VALUES = 1 << 20  # values of either side that a block of whole sets holds, but for a single larger set
 _TOP = np.uint64(1 << 63)
 
 
@@ -168,35 +170,62 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, k:
     return confirm(common.materialize(likely(pairs, classes, k, percent), "near-likely"), classes, docs, width, percent)
 
 
+def _counts(table: pa.Table, r: np.ndarray, c: np.ndarray, column: str) -> np.ndarray:
+    """Common values of the lists of rows ``r`` and rows ``c``, all by all."""
+    lists = table[column].combine_chunks()
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+
+    def entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = offsets[rows + 1] - offsets[rows]
+        at = np.repeat(offsets[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return values[at], np.repeat(np.arange(len(rows)), size)
+
+    vr, ir = entries(r)
+    vc, ic = entries(c)
+    shared = np.intersect1d(vr, vc)
+    counts = np.zeros((len(r), len(c)), np.float32)
+    for i in range(0, len(shared), 2048):
+        part = shared[i : i + 2048]
+        grids = []
+        for v, rows, total in ((vr, ir, len(r)), (vc, ic, len(c))):
+            at = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            there = part[at] == v
+            grid = np.zeros((total, len(part)), np.float32)
+            grid[rows[there], at[there]] = 1
+            grids.append(grid)
+        counts += grids[0] @ grids[1].T
+    return counts
+
+
+def _joining(ok: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs ``ok`` (row, column) as many as join the components ``left`` and ``right``, and where components are apart after that."""
+    uniq, at = np.unique(np.concatenate((left, right)), return_inverse=True)
+    rows, columns, label = at[: len(left)], at[len(left) :], np.arange(len(uniq))
+    out: list[tuple[int, int]] = []
+    for i in range(len(left)):
+        found = np.flatnonzero(ok[i])
+        mine = label[rows[i]]
+        met, first = np.unique(label[columns[found]], return_index=True)
+        out += [(i, j) for j in found[first[met != mine]].tolist()]
+        label[np.isin(label, met)] = mine
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1], label[rows][:, None] != label[columns][None, :]
+
+
 def _block_links(table: pa.Table, percent: int, k: int) -> pa.Table:
-    """Similar pairs of one block, (a, b, sure): sure where both sets are whole; of those one a member and other component."""
+    """(main, a, b): similar pairs of one block that join components, sure since both sets are whole.
+
+    Where sets are not, a member of side 0 that may be similar to one of side 1 is there as (a, null), that one as (null, b).
+    """
     side = table["side"].to_numpy()
     ids, parts, n = (table[c].to_numpy() for c in ("id", "component", "n"))
     main = table["main"].to_numpy()
     lists = table["sketch"].combine_chunks()
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    out_a, out_b, sure = [], [], []
+    a, b = pa.array([], pa.int64()), pa.array([], pa.int64())
     if len(r) and len(c):
-        def entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            size = offsets[rows + 1] - offsets[rows]
-            at = np.repeat(offsets[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            return values[at], np.repeat(np.arange(len(rows)), size)
-
-        vr, ir = entries(r)
-        vc, ic = entries(c)
-        shared = np.intersect1d(vr, vc)
-        counts = np.zeros((len(r), len(c)), np.float32)
-        for i in range(0, len(shared), 2048):
-            part = shared[i : i + 2048]
-            grids = []
-            for v, rows, total in ((vr, ir, len(r)), (vc, ic, len(c))):
-                at = np.minimum(np.searchsorted(part, v), len(part) - 1)
-                there = part[at] == v
-                grid = np.zeros((total, len(part)), np.float32)
-                grid[rows[there], at[there]] = 1
-                grids.append(grid)
-            counts += grids[0] @ grids[1].T
+        counts = _counts(table, r, c, "sketch")
         nr, nc = n[r][:, None], n[c][None, :]
         whole = (nr <= k) & (nc <= k)
         # of a truncated sketch only values up to the smaller of both last ones are comparable
@@ -215,24 +244,78 @@ def _block_links(table: pa.Table, percent: int, k: int) -> pa.Table:
         ok &= parts[r][:, None] != parts[c][None, :]
         # two outsiders meet twice: from the smaller id only
         ok &= (parts[c] == main[c])[None, :] | (ids[r][:, None] < ids[c][None, :])
-        for i in range(len(r)):
-            met: set[int] = set()
-            for j in np.flatnonzero(ok[i]).tolist():
-                certain = bool(whole[i, j])
-                if certain and int(parts[c[j]]) in met:
-                    continue
-                if certain:
-                    met.add(int(parts[c[j]]))
-                x, y = int(ids[r[i]]), int(ids[c[j]])
-                out_a.append(min(x, y))
-                out_b.append(max(x, y))
-                sure.append(certain)
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
-
-
-def block_links(apart: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, wide: int = WIDE) -> DataFrame:
-    """(a, b, sure) of similar pairs across components among (main, class, component): blocks of bounded size."""
-    members = common.materialize(apart.select("main", F.col("class").alias("id"), "component").distinct(), "near-members")
+        i, j, apart = _joining(ok & whole, parts[r], parts[c])
+        doubt = ok & ~whole & apart
+        x, y = ids[r[doubt.any(axis=1)]], ids[c[doubt.any(axis=0)]]
+        a = pa.concat_arrays([pa.array(ids[r[i]]), pa.array(x), pa.nulls(len(y), pa.int64())])
+        b = pa.concat_arrays([pa.array(ids[c[j]]), pa.nulls(len(x), pa.int64()), pa.array(y)])
+    return pa.table({"main": pa.array(np.full(len(a), main[0])), "a": a, "b": b})
+
+
+def _exact_links(table: pa.Table, percent: int) -> pa.Table:
+    """Similar pairs of one block that join components, by what their sets differ in from a common third."""
+    side, ids, n, parts = (table[c].to_numpy() for c in ("side", "id", "n", "component"))
+    size = np.diff(table["diff"].combine_chunks().offsets.to_numpy())
+    r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    i = j = r[:0]
+    if len(r) and len(c):
+        apart = size[r][:, None] + size[c][None, :] - 2 * _counts(table, r, c, "diff").astype(np.int64)
+        total = n[r][:, None] + n[c][None, :]
+        same = (total - apart) // 2
+        i, j, _ = _joining((same > 0) & (100 * same >= percent * (total - same)), parts[r], parts[c])
+    return pa.table({"a": ids[r[i]], "b": ids[c[j]]})
+
+
+def exact_links(suspects: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of exactly similar pairs that join components, between both sides of ``suspects`` (main, component, id, side; a written table).
+
+    Sets travel as their symmetric differences from one member's set, which tell the sizes of all intersections:
+    |x xor y| = |dx| + |dy| - 2 |dx and dy|. Near copies differ little, and a block gives fewer pairs than it has members.
+    """
+    key, both = ["main"], suspects
+    refs = both.where("side = 1").groupBy(*key).agg(F.min("id").alias("ref"))
+    named = common.materialize(common.join_hot(both, refs, key, ["id"]), "near-refs")
+    texts = common.materialize(texts_of(both.select(F.col("id").alias("class")).distinct(), classes, docs), "near-texts")
+    joined = (
+        common.join_hot(named, texts.select(F.col("class").alias("ref"), F.col("text").alias("tr")), ["ref"], ["id"])
+        .join(texts.select(F.col("class").alias("id"), "text"), "id").select("main", "component", "side", "id", "ref", "text", "tr")
+    )
+
+    def run(batch: pa.RecordBatch):
+        refs, texts, other = batch.column(4).to_pylist(), batch.column(5), batch.column(6)
+        known: dict[int, np.ndarray] = {}
+        for a, b in common.steps([len(x) for x in texts.cast(pa.binary()).to_pylist()]):
+            n, diffs = [], []
+            for i in range(a, b):
+                if refs[i] not in known:
+                    if len(known) > 16:
+                        known.clear()
+                    known[refs[i]] = shingle_sets([other[i].as_py().encode()], width)[0]
+                own = shingle_sets([texts[i].as_py().encode()], width)[0]
+                n.append(len(own))
+                diffs.append(np.setxor1d(own, known[refs[i]], assume_unique=True).view(np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in diffs]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(diffs)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in range(4)), pa.array(n, pa.int64()), lists], ["main", "component", "side", "id", "n", "diff"])
+
+    diffs = common.materialize(common.map_batches(joined, run, "main long, component long, side int, id long, n long, diff array<long>"), "near-diffs")
+    blocks = lambda own, most: F.greatest(F.lit(1), F.ceil(F.sum(own) / most), F.ceil(F.sum(own * F.size("diff")) / VALUES))
+    outer = (F.col("side") == 0).cast("long")
+    sizes = diffs.groupBy(*key).agg(blocks(outer, ROWS).alias("rows"), blocks(1 - outer, COLUMNS).alias("columns"))
+    placed = common.join_hot(diffs, sizes, key, ["id", "side"])
+    # a suspect goes to one row of blocks and every column, a member to one column and every row
+    count = F.when(F.col("side") == 0, F.col("columns")).otherwise(F.col("rows"))
+    own = F.pmod(F.xxhash64("id", "side"), F.when(F.col("side") == 0, F.col("rows")).otherwise(F.col("columns")))
+    dealt = placed.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).alias("each"))
+    block = F.concat_ws(" ", *key, F.when(F.col("side") == 0, F.concat_ws(" ", "own", "each")).otherwise(F.concat_ws(" ", "each", "own")))
+    # one column names the block: dealt by the main component alone, all its blocks would be one task's
+    rows = dealt.select(block.alias("block"), "component", "side", "id", "n", "diff")
+    common.ship_package(docs.sparkSession)
+    return rows.groupBy("block").applyInArrow(lambda t: _exact_links(t, percent), "a long, b long")
+
+
+def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, wide: int = WIDE) -> DataFrame:
+    """(main, a, b) of ``_block_links`` among ``members`` (main, id, component): blocks of bounded size."""
     needed = texts_of(members.select(F.col("id").alias("class")), classes, docs)
     wider = common.materialize(sketches(needed, width, wide, "class").select(F.col("doc_id").alias("id"), "n", "sketch"), "near-wide")
     outside = F.col("component") != F.col("main")
@@ -245,7 +328,7 @@ def block_links(apart: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     )
     rows = both.select("main", "rb", "cb", "side", "id", "component").join(wider, "id")
     common.ship_package(docs.sparkSession)
-    return rows.groupBy("main", "rb", "cb").applyInArrow(lambda t: _block_links(t, percent, wide), "a long, b long, sure boolean")
+    return rows.groupBy("main", "rb", "cb").applyInArrow(lambda t: _block_links(t, percent, wide), "main long, a long, b long")
 
 
 def near_duplicates(
@@ -308,10 +391,14 @@ def _components(docs: DataFrame, width: int, percent: int, k: int, id_col: str,
     )
     rest = common.materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     second = verify(rest, classes, docs, width, k, percent)
-    blocks = common.materialize(block_links(apart.where(F.col("total") > SMALL), classes, docs, width, percent, max(k, WIDE)), "near-blocks")
-    unsure = common.materialize(blocks.where("not sure").select("a", "b").distinct(), "near-unsure")
-    third = confirm(unsure, classes, docs, width, percent)
-    links = first.unionByName(second).unionByName(blocks.where("sure").select("a", "b")).unionByName(third)
+    long = apart.where(F.col("total") > SMALL)
+    members = common.materialize(long.select("main", F.col("class").alias("id"), "component").distinct(), "near-members")
+    blocks = common.materialize(block_links(members, classes, docs, width, percent, max(k, WIDE)), "near-blocks")
+    links = first.unionByName(second).unionByName(blocks.where("a is not null and b is not null").select("a", "b"))
+    doubt = blocks.where("a is null or b is null").select("main", F.coalesce("a", "b").alias("id"), F.col("b").isNotNull().cast("int").alias("side"))
+    suspects = common.materialize(doubt.distinct().join(members, ["main", "id"]), "near-suspects")
+    if not suspects.isEmpty():
+        links = links.unionByName(exact_links(suspects, classes, docs, width, percent))
     if by_id:
         # an id with several texts links their classes: from the smallest to each
         held = table.where("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2")

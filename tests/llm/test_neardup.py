@@ -84,6 +84,38 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     assert run(make(spark, rows), 2) == brute(rows, 2)
 
 
+def test_long_sets_of_a_large_group_are_compared_in_blocks(spark, monkeypatch):
+    """Sets beyond the sketches: exact links, and no row for each pair of an outsider and a member of its group."""
+    for name, value in (("SMALL", 3), ("ROWS", 64), ("COLUMNS", 128), ("WIDE", 64), ("VALUES", 400)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    rng = random.Random(31)
+    word = lambda: f"x{rng.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+    variant = base[:118] + [word() for _ in range(32)]  # too far from the base, but within the sketches' doubt
+    rows = []
+    for text in (base, variant):
+        for _ in range(40):
+            own = list(text)
+            for _ in range(rng.randrange(12)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((0, " ".join(own)))
+    rows += corpus(6, 10, 8)
+    rows = [(i, r[1]) for i, r in enumerate(rows, 1)]
+    rng.shuffle(rows)
+    made = {}
+
+    def counted(df, name, *more):  # noqa: ANN001, ANN002, ANN202
+        out = written(df, name, *more)
+        made[name] = out.count()
+        return out
+
+    written = common.materialize
+    monkeypatch.setattr(common, "materialize", counted)
+    assert run(make(spark, rows), 2) == brute(rows, 2)
+    assert max(made.get("near-blocks", 0), made.get("near-unsure", 0)) < 300, sorted(made.items())
+    assert made.get("near-diffs", 0) > 40  # there was doubt
+
+
 def test_exactly_at_the_threshold(spark):
     # 9 words: 8 shingles; 10 words with 2 changed at the end: 8 of 10 in common is 80 %
     base = "a b c d e f g h i".split()
