@@ -120,8 +120,11 @@ def marginals(emission: np.ndarray, mask: np.ndarray, transitions: np.ndarray, p
     return gamma.transpose(1, 0, 2), expected
 
 
-def _sample_windows(docs: DataFrame, per_label: int, total: int = SAMPLE) -> tuple[list[str], list[list[bytes]]]:
-    """Labels and word windows of the bounded training sample: at most ``per_label`` texts of a label, ``total`` in all."""
+def _sample_windows(docs: DataFrame, per_label: int, total: int = SAMPLE) -> tuple[list[str], list[bytes]]:
+    """Labels and windows of the bounded training sample: at most ``per_label`` texts of a label, ``total`` in all.
+
+    A window is its words with spaces between: on the driver, an object for each word takes some 20 times their bytes.
+    """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     # 53 bits of hash of id and text: rows that repeat both count once
     rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(8)), 11).alias("key"))
@@ -145,19 +148,18 @@ def _sample_windows(docs: DataFrame, per_label: int, total: int = SAMPLE) -> tup
                 if own := w[i * WINDOW : (i + 1) * WINDOW]:
                     langs.append(lang)
                     keys.append(key)
-                    out.append(own)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["lang", "key", "w"])
+                    out.append(b" ".join(own))
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["lang", "key", "w"])
 
-    got = common.map_batches(drawn.select("lang", "key", "text"), run, "lang string, key long, w array<binary>").collect()  # PER_DOC windows of each
-    got = sorted((r["lang"], r["key"], [bytes(x) for x in r["w"]]) for r in got)
+    got = common.map_batches(drawn.select("lang", "key", "text"), run, "lang string, key long, w binary").collect()  # PER_DOC windows of each
+    got = sorted((r["lang"], r["key"], bytes(r["w"])) for r in got)
     return [g[0] for g in got], [g[2] for g in got]
 
 
-def fit(label_of: list[str], windows: list[list[bytes]], rounds: int = 120, batch: int = 192) -> Model:
+def fit(label_of: list[str], texts: list[bytes], rounds: int = 120, batch: int = 192) -> Model:
     """Adagrad on the conditional likelihood of label sequences made of spans of one or several languages."""
     labels = sorted(set(label_of))
     y = np.array([labels.index(x) for x in label_of])
-    texts = [b" ".join(w) for w in windows]
     buf, start, end, _, bounds = words(texts)
     h = hash_slices(buf, start, end)
     uniq, first, word = np.unique(h, return_index=True, return_inverse=True)
@@ -272,7 +274,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     """The model of ``docs`` (doc_id, text, lang): its rows that are not held out, as far as the bound allows."""
     label_of, windows = _sample_windows(docs.select("doc_id", "text", "lang"), per_label)
-    return fit(label_of, windows) if label_of else None
+    model = fit(label_of, windows) if label_of else None
+    del label_of, windows
+    common.release_memory()  # the driver's Python, too, goes on beside the JVM
+    return model
 
 
 def identify(docs: DataFrame, per_label: int = PER_LABEL) -> DataFrame:

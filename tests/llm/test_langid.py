@@ -161,3 +161,11 @@ def test_lexicon_and_labels_are_never_features(spark, big, model):
     a = {r["doc_id"]: r["lang_pred"] for r in langid.predict(some, model).collect()}
     b = {r["doc_id"] - 10_000: r["lang_pred"] for r in langid.predict(changed, model).collect()}
     assert a == b
+
+
+def test_sampled_windows_are_one_object_each(spark):
+    """The driver holds a window as its words with spaces between, not as an object for each word."""
+    text = "\t ".join(f"word{i}" for i in range(150))
+    labels, windows = langid._sample_windows(make(spark, [(0, text, "en"), (1, "zwei Worte", "de")]).select("doc_id", "text", "lang"), 5)
+    wanted = [b" ".join(f"word{i}".encode() for i in range(a, a + 64)) for a in (0, 64)]
+    assert {*zip(labels, windows, strict=True)} <= {("de", b"zwei Worte"), *(("en", w) for w in wanted)} and windows
