@@ -13,6 +13,7 @@ from sieveline.functions import keys, reference_data
 from sieveline.functions.similarity import token_similarities
 from sieveline.functions.text import py_normalize
 from sieveline.operators import blocks, names_index, screening
+from sieveline.plans import queries
 
 RAW = "name_id long, uid long, entry_type string, name_kind string, is_weak boolean, display string"
 ASKED = "query_id string, query_name string, subject_type string"
@@ -207,6 +208,36 @@ def test_blocks_change_nothing(spark, names, monkeypatch):
     assert best(blocks.resembling(q, names, limit=7)) == whole and {g for _, g, _, _ in whole} == {"trigram", "phonetic"}
 
 
+def test_best_rows_with_copies_and_rare_trigrams(spark, names, monkeypatch):
+    """Names and customers that are there many times, trigrams beyond the bits, and few names at once: the same as pair by pair."""
+    copies = names.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("name_id", F.col("name_id") * 4 + F.col("i")).drop("i")
+    asked = [(f"Q{i}-{k}", n, t) for i, (n, t) in enumerate(CUSTOMERS) for k in range(i % 3 + 1)]
+    for attribute, value in (("BITS", 64), ("OWN", 20), ("SHARED", 5), ("FIRST", 4), ("WIDTH", 32), ("MEMBERS", 1)):
+        monkeypatch.setattr(blocks, attribute, value)
+    q = screening.prepare(spark.createDataFrame(asked, ASKED))
+    got: dict[tuple, list] = {}
+    for r in blocks.resembling(q, copies, limit=6).collect():
+        got.setdefault((r["query_id"], r["gen"]), []).append((-round(r["sim"], 9), r["name_id"]))
+    pool = [(r["name_id"], r["name_norm"], r["entry_type"]) for r in copies.collect()]
+    assert sum(map(len, got.values())) > 200
+    for i, name, kind in asked:
+        norm = py_normalize(name)
+        near = sorted((-round(_sim(norm, n), 9), u) for u, n, e in pool if norm and e in reference_data.SEARCHED[kind])
+        heard = {u for u, n, _ in pool if _sounds(norm) & _sounds(n)}
+        assert sorted(got.get((i, "trigram"), [])) == [x for x in near if -x[0] >= 0.3][:6]
+        assert sorted(got.get((i, "phonetic"), [])) == [x for x in near if x[1] in heard][:6]
+
+
+def test_queries_for_best_rows_ask_for_no_more(spark, sf_dir, monkeypatch):
+    """All pairs with a common sound do not fit into a task's memory: each block hands on the best ones only."""
+    limits = []
+    real = blocks.resembling
+    monkeypatch.setattr(blocks, "resembling", lambda *a, **k: (limits.append(a[3] if len(a) > 3 else k.get("limit")), real(*a, **k))[1])
+    for name in ("phonetic_overlap", "trigram_topk", "misses", "unanswered_queries"):
+        queries.QUERIES[name](spark, sf_dir)
+    assert limits == [50, 50, 10, 1]
+
+
 def test_the_plan_joins_no_sides_in_full(spark, names):
     """No cross join, and the trigrams of listed names come from the index."""
     q = screening.prepare(spark.createDataFrame([("Q", "X Y", "entity")], ASKED))
