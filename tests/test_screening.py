@@ -238,6 +238,23 @@ def test_queries_for_best_rows_ask_for_no_more(spark, sf_dir, monkeypatch):
     assert limits == [50, 50, 10, 1]
 
 
+def test_customers_of_one_name_are_asked_once(spark, names, monkeypatch):
+    monkeypatch.setattr(blocks, "MEMBERS", 2)
+    twins = [(f"Q{i}-{k}", n.lower() if k % 2 else n.upper(), t) for i, (n, t) in enumerate(CUSTOMERS) for k in range(5)]
+    asked = spark.createDataFrame(twins, ASKED)
+    each, members = screening.once(asked)
+    assert each.count() == len({(py_normalize(n), t) for _, n, t in twins if py_normalize(n)})
+    assert members.count() == sum(bool(py_normalize(n)) for _, n, _ in twins)
+    got: dict[str, list] = {}
+    for r in screening.screen(asked, names).collect():
+        got.setdefault(r["query_id"], []).append(tuple(r)[1:])
+    single = screening.screen(asked.where("query_id like '%-0'"), names).collect()
+    assert len(single) > 20
+    for i in range(len(CUSTOMERS)):
+        wanted = sorted(tuple(r)[1:] for r in single if r["query_id"] == f"Q{i}-0")
+        assert all(sorted(got.get(f"Q{i}-{k}", [])) == wanted for k in range(5))
+
+
 def test_the_plan_joins_no_sides_in_full(spark, names):
     """No cross join, and the trigrams of listed names come from the index."""
     q = screening.prepare(spark.createDataFrame([("Q", "X Y", "entity")], ASKED))
