@@ -255,6 +255,12 @@ def test_customers_of_one_name_are_asked_once(spark, names, monkeypatch):
         assert all(sorted(got.get(f"Q{i}-{k}", [])) == wanted for k in range(5))
 
 
+def test_much_work_on_few_bytes_is_dealt_over_all_cores(spark, sf_dir):
+    cores = spark.sparkContext.defaultParallelism
+    for name, least in (("token_similarity", 8 * cores),):
+        assert queries.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= least
+
+
 def test_the_plan_joins_no_sides_in_full(spark, names):
     """No cross join, and the trigrams of listed names come from the index."""
     q = screening.prepare(spark.createDataFrame([("Q", "X Y", "entity")], ASKED))
