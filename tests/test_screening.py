@@ -257,7 +257,7 @@ def test_customers_of_one_name_are_asked_once(spark, names, monkeypatch):
 
 def test_much_work_on_few_bytes_is_dealt_over_all_cores(spark, sf_dir):
     cores = spark.sparkContext.defaultParallelism
-    for name, least in (("token_similarity", 8 * cores),):
+    for name, least in (("perturb_companies", cores), ("legal_forms", cores), ("token_similarity", 8 * cores)):
         assert queries.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= least
 
 
